@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, packing, simhash, topk, warc
+from . import decontaminate, langid, linededup, packing, simhash, toolcalls, topk, warc
 from .common import Work
 
 
@@ -29,6 +29,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).selectExpr("key AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _table(spark, sf_dir, "conversations")
+    events = toolcalls.marked_events(messages).unionByName(toolcalls.turn_events(messages))
+    return toolcalls.link(events, toolcalls.TURN_SCHEMAS).select("conv_id", "turn", "call_id", "name", "level", "status", "result_turn", "n_results", "valid", "json")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(_table(spark, sf_dir, "documents"))
     found = decontaminate.phrase_matches(index, _table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontaminate.hit_words())
@@ -78,6 +84,24 @@ SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
 FROM ranked
 """
 
+OP2_SQL = """
+WITH calls AS (
+  SELECT * FROM conversations WHERE role IN ('user', 'system') AND text IS NOT NULL
+), results AS (
+  SELECT * FROM conversations WHERE role = 'assistant' AND text IS NOT NULL
+), firsts AS (
+  SELECT conv_id FROM calls WHERE turn = 0
+)
+SELECT c.conv_id, c.turn, c.conv_id || ':' || c.turn AS call_id, CASE c.role WHEN 'user' THEN 'reply' ELSE 'instruct' END AS name,
+  CAST(CASE WHEN c.turn > 0 AND f.conv_id IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS level,
+  CASE WHEN r.conv_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status, r.turn AS result_turn,
+  CAST(CASE WHEN r.conv_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results,
+  length(c.text) >= 1 AND (c.turn = 0 OR f.conv_id IS NOT NULL) AS valid,
+  '{"arguments":{"text":' || CAST(to_json(c.text) AS VARCHAR) || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"'
+    || CASE c.role WHEN 'user' THEN 'reply' ELSE 'instruct' END || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS json
+FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND r.turn = c.turn + 1 LEFT JOIN firsts f ON c.conv_id = f.conv_id
+"""
+
 OP3_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
