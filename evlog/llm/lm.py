@@ -179,7 +179,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     met = exchange.meet(answers)
     counted = met.mapInArrow(_held_out_counts(order, n_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = work.save(counted, "cells").toPandas()  # 64 buckets x _SIZES**order at most, whatever the corpus
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), order, vocabulary)
+    untrained = np.eye(1, order + 1).repeat(64, axis=0)  # all weight on order 0
+    weights = untrained if not n_tokens else learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), order, vocabulary)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = work.save(met.mapInArrow(_scored(order, n_tokens, vocabulary, weights), schema), "scores")
     exchange.close()
