@@ -210,7 +210,7 @@ class Resettable(Fold):
         # the keys' last resets are one row a key; a hot key's events are split by adaptive skew handling
         joined = slim.join(resets, self.key, "left")
         late = F.col("reset_at").isNull() | (F.col(POSITION) > F.col("reset_at"))
-        return joined.groupBy(self.key).agg(F.sum(F.when(late, F.col("given"))).alias("sum"), F.max("reset_at").alias("reset_at"), F.max(POSITION).alias("at"))
+        return joined.groupBy(self.key).agg(F.sum(F.when(late, F.col("given"))).cast(T.DecimalType(28, self.digits)).alias("sum"), F.max("reset_at").alias("reset_at"), F.max(POSITION).alias("at"))
 
     def merge(self, older, newer):
         """Of a key's states, in order of their events, those before the last one with a reset count no more."""
