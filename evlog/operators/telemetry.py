@@ -56,3 +56,21 @@ def lags(projections: DataFrame, head: int) -> DataFrame:
 def slowest_lag(projections: DataFrame, head: int) -> DataFrame:
     least = F.greatest(F.lit(0).cast("long"), F.min("position"))
     return projections.agg(F.greatest(F.lit(0).cast("long"), F.lit(head).cast("long") - least).alias("lag"))
+
+
+def health_counts(projections: DataFrame, head: int) -> DataFrame:
+    return lags(projections, head).groupBy("health").agg(F.count("*").alias("n"))
+
+
+def tail(records: DataFrame, after_ms: int, seen: list[str], limit: int = 100) -> tuple[DataFrame, int, list[str]]:
+    """The next records in time order, past a cursor: a time, and the spans already seen at that time; and the cursor to go on
+    from. What reaches the driver are the ids of one page."""
+    known = F.coalesce(F.col("span_id").isin(seen), F.lit(False)) if seen else F.lit(False)
+    new = records.where((F.col("ts_ms") > after_ms) | ((F.col("ts_ms") == after_ms) & ~known))
+    page = new.orderBy("ts_ms", "span_id").limit(limit)
+    rows = page.select("ts_ms", "span_id").collect()
+    if not rows:
+        return page, after_ms, seen
+    last = max(r.ts_ms for r in rows)
+    at_last = [r.span_id for r in rows if r.ts_ms == last and r.span_id is not None]
+    return page, last, at_last + (seen if last == after_ms else [])

@@ -77,6 +77,10 @@ class Aggregates(Fold):
     key: str | list[str] | None = None
     key_columns: dict[str, str] = field(default_factory=dict)
 
+    def __post_init__(self):
+        if not self.measures:
+            raise SpecError("an aggregate without measures")
+
     def types(self):
         return _union_types(m.types for m in self.measures.values())
 

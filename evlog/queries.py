@@ -290,6 +290,40 @@ def projection_lag_health(spark, sf_dir):
     return telemetry.lags(positions, rows.agg(F.max("global_position")).first()[0])
 
 
+@query("""WITH p AS (SELECT event_type AS name, min(event_id) * 37 AS position FROM events GROUP BY event_type), l AS (SELECT greatest(0, (SELECT max(event_id) FROM events) - greatest(0, position)) AS lag FROM p)
+SELECT CASE WHEN lag > 10000 THEN 'error' WHEN lag > 1000 THEN 'warning' ELSE 'healthy' END AS health, count(*) AS n FROM l GROUP BY 1""")
+def health_rollup(spark, sf_dir):
+    rows = activity_rows(spark, sf_dir)
+    positions = rows.groupBy(F.col("type").alias("name")).agg((F.min("global_position") * 37).alias("position"))
+    return telemetry.health_counts(positions, rows.agg(F.max("global_position")).first()[0])
+
+
+@query("SELECT event_id AS global_position, 'user-' || user_id AS stream_id, value FROM events WHERE event_type = 'purchase' AND value >= 50 AND CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
+def type_guard(spark, sf_dir):
+    """Payloads of the wanted shape only: a number where a number is wanted."""
+    from .functions.values import field
+
+    value, k = field("value", "double"), field("k", "long")
+    data = F.to_json(F.struct("value", "k"))
+    rows = activity_rows(spark, sf_dir).where("type = 'purchase'").withColumn("data", data)
+    return rows.where(value.isNotNull() & (value >= 50) & k.isNotNull() & (k >= 50)).select("global_position", "stream_id", value.alias("value"))
+
+
+@query(_LATEST_SQL + "SELECT stream_id AS key, last_type AS value FROM view")
+def kv_latest(spark, sf_dir):
+    """A key-value table fed in two versions and compacted: the last type by user, errors as deletions."""
+    from .sources.kv import KeyValueTable
+
+    kv = KeyValueTable(spark, f"{_scratch(spark)}/kv-{uuid.uuid4().hex}")
+    rows = activity_rows(spark, sf_dir)
+    middle = rows.agg(F.max("global_position")).first()[0] // 2
+    for part in (rows.where(F.col("global_position") <= middle), rows.where(F.col("global_position") > middle)):
+        last = part.groupBy("stream_id").agg(F.max_by("type", "global_position").alias("value"))
+        kv._write(last.select(F.col("stream_id").alias("key"), "value", (F.col("value") == "error").alias("deleted")))
+    kv.compact()
+    return kv.live()
+
+
 def _metrics(spark, sf_dir) -> DataFrame:
     """The events as metrics: a row a call, its method by type."""
     method = F.when(F.col("type").isin("view", "click"), "GET").otherwise("POST")

@@ -41,7 +41,7 @@ def test_the_rest_works_without_the_training_text_operators(tmp_path):
     code = "import sys; sys.modules['evlog.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; q = e.queries(); assert len(q) > 30 and not any(n.startswith('op') for n in q)"
     root = Path(__file__).parent.parent
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
-    assert not any("llm" in p.read_text() for p in (root / "evlog").rglob("*.py") if "llm" not in p.parts)
+    assert not any("evlog.llm" in (text := p.read_text()) or ".llm import" in text for p in (root / "evlog").rglob("*.py") if "llm" not in p.parts)
 
 
 def plan(df):

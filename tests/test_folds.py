@@ -293,3 +293,6 @@ def test_telemetry(spark):
     lags = telemetry.lags(spark.createDataFrame([("a", 100), ("b", -1), ("c", 20_000)], "name string, position long"), 12_000)
     assert {r.name: (r.lag, r.health) for r in lags.collect()} == {"a": (11_900, "error"), "b": (12_000, "error"), "c": (0, "healthy")}
     assert telemetry.slowest_lag(spark.createDataFrame([(50,), (90,)], "position long"), 100).first().lag == 50
+    page, at, seen = telemetry.tail(records.withColumn("span_id", F.concat(F.lit("s"), (F.col("ts_ms") % 2).cast("string"))).withColumn("ts_ms", F.floor(F.col("ts_ms") / 2)), 3, ["s0"], 3)
+    assert [(r.ts_ms, r.span_id) for r in page.collect()] == [(3, "s1"), (4, "s0"), (4, "s1")] and (at, seen) == (4, ["s0", "s1"])
+    assert {r.health: r.n for r in telemetry.health_counts(spark.createDataFrame([("a", 100), ("c", 20_000)], "name string, position long"), 12_000).collect()} == {"error": 1, "healthy": 1}
