@@ -52,9 +52,13 @@ class Work:
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Remove the folder, once nothing reads any of its tables."""
+        self.drop("")
+
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are done with."""
         gc.collect()

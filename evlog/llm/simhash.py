@@ -50,7 +50,7 @@ def _fingerprints(words: int):
         for rows in batches:
             for part in slices(rows, "text", 16 << 20):
                 codes = np.array([fingerprint(t, words) for t in utf8(part.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(codes.view(np.int64))], ["doc_id", "mark", "code"])
 
     return run
 
@@ -190,11 +190,11 @@ def _grouped(codes: DataFrame, distance: int, group_rows: int) -> DataFrame:
     return split.select(group.alias("group"), "lead", "code")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, group_rows: int = 1 << 21) -> DataFrame:
-    """doc_id, code (the fingerprint as a long), component_id: the smallest doc_id reachable by links."""
+def _found(docs: DataFrame, words: int, distance: int, group_rows: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), code, component_id."""
     work = Work(docs.sparkSession, "simhash")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = work.save(slim.mapInArrow(_fingerprints(words), "doc_id long, code long"), "prints")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    prints = work.save(slim.mapInArrow(_fingerprints(words), "doc_id long, mark long, code long"), "prints")
     codes = work.save(prints.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "codes")
     grouped = _grouped(codes.select("code"), distance, group_rows).repartition("group").sortWithinPartitions("group")
     stars = work.save(grouped.mapInArrow(_linked(distance), "a long, b long"), "links")
@@ -203,10 +203,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, group_ro
     least = work.save(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).where("members > 1"), "least")
     linked = join_hot(rooted, least, "root", "members", codes.count(), "left")
     named = work.save(linked.select("code", "n", F.when(F.col("members").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "named")
-    return join_hot(prints, named, "code", "n", prints.count()).select("doc_id", "code", "component_id")
+    return join_hot(prints, named, "code", "n", prints.count()).select("doc_id", "mark", "code", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, group_rows: int = 1 << 21) -> DataFrame:
+    """doc_id, code (the fingerprint as a long), component_id: the smallest doc_id reachable by links."""
+    return _found(docs, words, distance, group_rows).drop("mark")
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; rows without an id stay."""
-    found = near_duplicates(docs, **parameters).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi"))
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, group_rows: int = 1 << 21) -> DataFrame:
+    """docs with one document of each group, one with the smallest id; rows without an id stay."""
+    found = _found(docs, words, distance, group_rows).where("doc_id = component_id")
+    kept = Work(docs.sparkSession, "kept").save(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.min("mark").alias("_mark"), F.count("*").alias("_rows")), "kept")
+    own = docs.join(kept.select("_kept", "_mark"), (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_mark")), "left_semi")
+    if not kept.where("_rows > 1").isEmpty():  # rows that repeat an id and its text
+        own = own.dropDuplicates(["doc_id"])
+    return docs.where("doc_id is null").unionByName(own)

@@ -192,6 +192,7 @@ def write(records: DataFrame, path: str, key: str = "page_id", payload: str = "h
     with system.open_output_stream(temporary) as out:
         out.write("".join(json.dumps(r.asDict(), sort_keys=True) + "\n" for r in lines).encode())
     system.move(temporary, manifest)
+    work.close()
     if system.get_file_info(f"{where}/_temporary").type == fs.FileType.Directory:
         system.delete_dir(f"{where}/_temporary")
     return f"{path}/manifest.json"
