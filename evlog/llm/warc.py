@@ -80,7 +80,7 @@ class _Shard:
     def add(self, key: int | None, data: bytes) -> None:
         if self.out is None:
             self.name = f"shard-{self.shard:06d}-{len(self.done):04d}.warc.gz"
-            self.out, self.sha, self.size, self.keys = self.fs.open_output_stream(f"{self.temporary}/{self.name}"), hashlib.sha256(), 0, []
+            self.out, self.sha, self.size, self.keys = self.fs.open_output_stream(f"{self.temporary}/{self.name}", compression=None), hashlib.sha256(), 0, []
             self.first, self.n = key, 0
         squeeze = zlib.compressobj(self.level, zlib.DEFLATED, 31)
         member = squeeze.compress(data) + squeeze.flush()
@@ -189,7 +189,7 @@ def write(records: DataFrame, path: str, key: str = "page_id", payload: str = "h
     system.create_dir(where, recursive=True)
     lines = sorted(work.save(files, "files").toLocalIterator(), key=lambda r: r.name)  # a row a file
     temporary, manifest = f"{where}/_temporary-manifest-{uuid.uuid4().hex}", f"{where}/manifest.json"
-    with system.open_output_stream(temporary) as out:
+    with system.open_output_stream(temporary, compression=None) as out:
         out.write("".join(json.dumps(r.asDict(), sort_keys=True) + "\n" for r in lines).encode())
     system.move(temporary, manifest)
     work.close()
@@ -240,7 +240,7 @@ def _read(path: str, payloads: bool, most: int = 16 << 20):
         for rows in batches:
             for name, sha256 in zip(rows.column("name").to_pylist(), rows.column("sha256").to_pylist(), strict=True):
                 sha, out, held = hashlib.sha256(), [], 0
-                with system.open_input_stream(f"{where}/{name}") as stream:
+                with system.open_input_stream(f"{where}/{name}", compression=None) as stream:
                     for member in members(stream, sha):
                         row = parse(member)
                         held += len(member)
