@@ -19,7 +19,9 @@ their own; an id may be null. An empty table gives no rows. Other columns are ig
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,18 +44,28 @@ def tokenizer(path: str):
     return made
 
 
+_PUNCTUATION = string.punctuation
+
+
 class Encoder:
     """A byte-level BPE tokenizer's ids of whole texts, with a memory of chunks.
 
     Its pattern ends a token at every space that follows something other than white space, so a text is cut there and each
-    chunk, from its space on, is encoded alone; only chunks not met lately reach the tokenizer. Texts in which the cut isn't
-    certain (two white-space characters in a row) go to it whole, as do all texts if the tokenizer is of another kind.
+    chunk, from its space on, is encoded alone; only chunks not met lately reach the tokenizer. A chunk of Latin letters, with
+    ASCII punctuation after them or not, has its cuts in sight and goes to the tokenizer's model part by part; other chunks
+    go through all of the tokenizer. Texts in which the cut isn't certain (two white-space characters in a row) go to it
+    whole, as do all texts if the tokenizer turns out to be of another kind.
     """
 
     def __init__(self, path: str, most: int = 800_000):
-        self.own, self.known, self.most = tokenizer(path), {}, most
-        probe = "Ab c's\nde, f. 12 é" * 3
-        self.chunked = self._ids([probe])[0] == b"".join(self._ids(self._chunks(probe)))
+        self.own, self.known, self.tails, self.most = tokenizer(path), {}, {}, most
+        self.model, self.letters = self.own.model, _byte_letters()
+        probe = "Ab c's\nde, f. 12 é\nÀß.\n\nx! don't (y)" * 3
+        words = probe.split(" ")
+        try:
+            self.chunked = self._ids([probe])[0] == self._ids([words[0]])[0] + b"".join(self._words(words[1:]))
+        except Exception:  # noqa: BLE001 - a model that doesn't know byte letters
+            self.chunked = False
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -61,10 +73,34 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
         return out
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        words = text.split(" ")
-        return [words[0], *[f" {w}" for w in words[1:]]]
+    def _tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            self.tails[text] = self._ids([text])[0]
+        return self.tails[text]
+
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """The ids of letters and punctuation after them; None if it is anything else."""
+        core = word.rstrip(_PUNCTUATION)
+        if not core.isalpha() or max(core) >= "\u0250":
+            return None
+        letters = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
+        ids = array("I", [t.id for t in self.model.tokenize(lead + letters)]).tobytes()
+        return ids if len(core) == len(word) else ids + self._tail(word[len(core) :])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of chunks, each a space and a word."""
+        out, hard, space = [], [], self.letters[32]
+        for i, word in enumerate(words):
+            ids = self._word(word, space)
+            if ids is None and "\n" in word:
+                parts = [self._word(p, "" if k else space) for k, p in enumerate(word.split("\n"))]
+                ids = None if None in parts else self._tail("\n").join(parts)
+            out.append(ids)
+            if ids is None:
+                hard.append(i)
+        for i, ids in zip(hard, self._ids([f" {words[i]}" for i in hard]), strict=True):
+            out[i] = ids
+        return out
 
     @staticmethod
     def _certain(text: str) -> bool:
@@ -81,7 +117,7 @@ class Encoder:
             self.known.clear()
         # a chunk is kept under its word: that is " word", but for a text's first
         new = list(set().union(*cut.values()).difference(self.known)) if cut else []
-        self.known.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
+        self.known.update(zip(new, self._words(new), strict=True))
         firsts = self._ids([words[0] for words in cut.values()])
         get = self.known.__getitem__
         for (i, words), first in zip(cut.items(), firsts, strict=True):
@@ -89,6 +125,20 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others follow
+    from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 def _other_space(text: str) -> bool:
     return not text.isascii() and any(ord(c) > 127 and c.isspace() for c in set(text))
 
@@ -103,16 +153,16 @@ def _pieces(path: str, end: int, capacity: int, with_ids: bool):
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(path)
+        own = encoder(path)
         for rows in batches:
             for part in slices(rows, "text", 2 << 20):
                 columns: list[list] = [[] for _ in range(6)]
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for key, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                for key, ids in zip(part.column("doc_id").to_pylist(), own.encode(texts), strict=True):
                     ids += stop
                     for number, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + length)]
-                        for column, value in zip(columns, (key, number, start, length, zlib.crc32(own), own), strict=True):
+                        piece = ids[4 * start : 4 * (start + length)]
+                        for column, value in zip(columns, (key, number, start, length, zlib.crc32(piece), piece), strict=True):
                             column.append(value)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
