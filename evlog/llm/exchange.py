@@ -79,8 +79,9 @@ class Exchange:
         slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         blocks = slim.mapInArrow(_blocked(block_bytes), "doc_ids array<long>, texts array<binary>").withColumn("block", F.monotonically_increasing_id())
         self.table = f"{name}_{uuid.uuid4().hex}"
-        # one file for each task and bucket it meets; as many buckets as there are tasks, so a task writes as many as it has blocks
-        self.parts = max(1, slim.rdd.getNumPartitions())
+        # a task writes a file for each of its blocks at most; with fewer buckets than shuffle partitions Spark would shuffle both
+        # sides of a join to have more tasks
+        self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slim.rdd.getNumPartitions())
         blocks.write.bucketBy(self.parts, "block").option("compression", "zstd").option("path", f"{self.work.path}/blocks").saveAsTable(self.table)
         self.blocks = spark.table(self.table)
 
