@@ -33,12 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches at 16 MB, unless the session has a size of its own: a batch of texts stands in
+    the executor and in its Python worker at once, several times over."""
+    ship(spark)
+    if spark.conf.get(_BATCH_BYTES, "64MB") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH_BYTES, str(16 << 20))
+
+
 class Work:
     """Tables written in a folder of their own below the shared one. Every task that is run again writes the same rows,
     and Spark's committer publishes a table as a whole, so a lost executor costs time only."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

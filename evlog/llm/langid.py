@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..deploy import ship
-from .common import slices
+from .common import prepare, slices
 
 _TABLE: np.ndarray | None = None
 
@@ -66,19 +65,19 @@ def grams(points: np.ndarray, sizes: tuple[int, ...], buckets: int) -> np.ndarra
 
 
 def _counted(sizes: tuple[int, ...], buckets: int):
-    """Rows (lang, bucket, n) of each batch."""
+    """Rows (lang, bucket, n) of each partition."""
 
     def run(batches):
+        counts: dict[str, np.ndarray] = {}
         for rows in batches:
-            counts: dict[str, np.ndarray] = {}
             for part in slices(rows, "text", 8 << 20):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if lang not in counts:
                         counts[lang] = np.zeros(buckets, np.int64)
                     counts[lang] += np.bincount(grams(normalised(text), sizes, buckets), minlength=buckets)
-            for lang, own in counts.items():
-                some = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], ["lang", "bucket", "n"])
+        for lang, own in counts.items():
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], ["lang", "bucket", "n"])
 
     return run
 
@@ -108,7 +107,7 @@ class Model:
 
 def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, train_docs: int = 5000, smoothing: float = 0.5, evidence: int = 200, most_cells: int = 1 << 26) -> Model:
     """Learn from (doc_id, text, lang). What reaches the driver is the matrix: buckets x languages, most_cells at most."""
-    ship(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes_by = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(most_cells // buckets + 1).collect()}
     if len(sizes_by) * buckets > most_cells:
@@ -142,7 +141,7 @@ def _predicted(model, schema: T.StructType):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with _lang and _score besides. docs needs text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     out = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
     return docs.mapInArrow(_predicted(sent, docs.schema), out)
 
