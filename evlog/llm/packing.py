@@ -2,11 +2,8 @@
 
 Sequences hold `capacity` tokens. Documents of more are cut into pieces of the full capacity, the first piece being the rest.
 How many pieces there are of each length (at most `capacity` different numbers, whatever the corpus) is all that the packing
-needs: bin completion works on these counts. It takes the largest length left, lists undominated fillings around it (no
-filling whose parts fit into a better one's), least waste first, and branches over them; a filling is used as often as the
-counts allow. A branch is pruned when its waste so far plus the least waste of what is left can't beat the incumbent, and
-the first incumbents are best-fit solutions: best-fit decreasing over the counts, and each dive that takes the best-fitting
-filling. The search ends when the incumbent meets the lower bound or after `nodes` nodes.
+needs: bin completion (completion.py) works on these counts, and ends with a proven least number of sequences or, after
+`effort` steps, with the fewest it has found and the bound it knows, both of which are logged.
 
 The plan, a list of fillings with how often each is used, is bounded as the counts are. Pieces get their ranks within their
 length by range-sorting and prefix sums, and a rank finds its sequence and place in the plan by binary search, so no task
@@ -18,6 +15,7 @@ their own; an id may be null. An empty table gives no rows. Other columns are ig
 
 from __future__ import annotations
 
+import logging
 import os
 import string
 import zlib
@@ -30,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work, slices
+from .completion import Filling, pack
 
+_LOG = logging.getLogger(__name__)
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,9 +39,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 _PUNCTUATION = string.punctuation
@@ -53,13 +51,14 @@ class Encoder:
     Its pattern ends a token at every space that follows something other than white space, so a text is cut there and each
     chunk, from its space on, is encoded alone; only chunks not met lately reach the tokenizer. A chunk of Latin letters, with
     ASCII punctuation after them or not, has its cuts in sight and goes to the tokenizer's model part by part; other chunks
-    go through all of the tokenizer. Texts in which the cut isn't certain (two white-space characters in a row) go to it
-    whole, as do all texts if the tokenizer turns out to be of another kind.
+    go through all of the tokenizer. Texts in which the cut isn't certain (two white-space characters in a row, one of the
+    tokenizer's added tokens) go to it whole, as do all texts if the tokenizer turns out to be of another kind.
     """
 
     def __init__(self, path: str, most: int = 800_000):
         self.own, self.known, self.tails, self.most = tokenizer(path), {}, {}, most
         self.model, self.letters = self.own.model, _byte_letters()
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
         probe = "Ab c's\nde, f. 12 é\nÀß.\n\nx! don't (y)" * 3
         words = probe.split(" ")
         try:
@@ -102,9 +101,8 @@ class Encoder:
             out[i] = ids
         return out
 
-    @staticmethod
-    def _certain(text: str) -> bool:
-        return not ("  " in text or "\n " in text or " \n" in text or text.startswith(" ") or text.endswith(" ") or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or _other_space(text))
+    def _certain(self, text: str) -> bool:
+        return not (any(t in text for t in self.added) or "  " in text or "\n " in text or " \n" in text or text.startswith(" ") or text.endswith(" ") or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or _other_space(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -172,109 +170,6 @@ def _pieces(path: str, end: int, capacity: int, with_ids: bool):
     return run
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Fillings and how often each is used: around the largest length left, the largest that still fits, again and again."""
-    left, plan = {s: n for s, n in counts.items() if n}, []
-    while left:
-        filling, room = {}, capacity
-        while fits := [s for s in left if s <= room and filling.get(s, 0) < left[s]]:
-            s = max(fits)
-            k = min(room // s, left[s] - filling.get(s, 0))
-            filling[s] = filling.get(s, 0) + k
-            room -= k * s
-        plan.append((filling, used := min(left[s] // k for s, k in filling.items())))
-        left = {s: n - used * filling.get(s, 0) for s, n in left.items() if n > used * filling.get(s, 0)}
-    return plan
-
-
-def dominates(better: list[int], other: list[int]) -> bool:
-    """Whether the parts of `other` fit, put together, into those of `better`."""
-
-    def place(parts: list[int], rooms: list[int]) -> bool:
-        if not parts:
-            return True
-        tried = set()
-        for i, room in enumerate(rooms):
-            if room >= parts[0] and room not in tried:
-                tried.add(room)
-                if place(parts[1:], rooms[:i] + [room - parts[0]] + rooms[i + 1 :]):
-                    return True
-        return False
-
-    return sum(better) >= sum(other) and place(sorted(other, reverse=True), list(better))
-
-
-def fillings(sizes: list[int], left: dict[int, int], room: int, width: int, effort: int = 500) -> list[list[int]]:
-    """Undominated fillings of `room` from the sizes left (falling), least waste first, then fewer and larger parts."""
-    found, steps = [], 0
-    smallest = sizes[-1] if sizes else room + 1
-
-    def search(at: int, room: int, chosen: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > effort or len([f for f in found if f[0] == 0]) >= width:
-            return
-        if room < smallest:
-            found.append((room, list(chosen)))
-            return
-        fitted = False
-        while at < len(sizes) and sizes[at] > room:
-            at += 1
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if chosen.count(s) < left[s]:
-                fitted = True
-                chosen.append(s)
-                search(i, room - s, chosen)
-                chosen.pop()
-                if steps > effort or len([f for f in found if f[0] == 0]) >= width:
-                    break
-        if not fitted:
-            found.append((room, list(chosen)))
-
-    search(0, room, [])
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    best: list[list[int]] = []
-    for _, parts in found[: 8 * width]:
-        if not any(parts == b or (len(parts) <= 8 and len(b) <= 8 and dominates(b, parts)) for b in best):
-            best.append(parts)
-    return best[:width]
-
-
-def pack(counts: dict[int, int], capacity: int, width: int = 3, nodes: int = 5_000) -> list[tuple[dict[int, int], int]]:
-    """Fillings of `capacity` and how often each is used, that hold all counts in as few bins as were found."""
-    counts = {s: n for s, n in counts.items() if n > 0}
-    plan = best_fit_decreasing(counts, capacity)
-    best = sum(n for _, n in plan)
-    bound = lambda total: -(-total // capacity)
-    if not counts or best == bound(sum(s * n for s, n in counts.items())):
-        return plan
-    # depth first; a node: (counts left, bins so far, tokens left, the fillings so far as a linked list)
-    todo, spent = [(counts, 0, sum(s * n for s, n in counts.items()), None)], 0
-    while todo and spent < nodes and best > bound(sum(s * n for s, n in counts.items())):
-        left, bins, total, path = todo.pop()
-        spent += 1
-        if bins + bound(total) >= best:
-            continue
-        if not left:
-            best, plan = bins, []
-            while path:
-                plan.append(path[0])
-                path = path[1]
-            plan.reverse()
-            continue
-        largest = max(left)
-        after = dict(left)
-        after[largest] -= 1
-        sizes = sorted((s for s, n in after.items() if n and s <= capacity - largest), reverse=True)
-        for parts in reversed(fillings(sizes, after, capacity - largest, width)):
-            filling = {s: parts.count(s) + (s == largest) for s in {*parts, largest}}
-            used = min(left[s] // k for s, k in filling.items())
-            rest = {s: n - used * filling.get(s, 0) for s, n in left.items() if n > used * filling.get(s, 0)}
-            todo.append((rest, bins + used, total - used * sum(s * k for s, k in filling.items()), ((filling, used), path)))
-    return plan
-
-
 def _ranked(rows_in):
     """The number of the partition, and each row's rank among the partition's rows of its length."""
     from pyspark import TaskContext
@@ -295,7 +190,7 @@ def _ranked(rows_in):
 class Places:
     """From a piece's length and rank to its sequence and its place there."""
 
-    def __init__(self, plan: list[tuple[dict[int, int], int]]):
+    def __init__(self, plan: list[tuple[Filling, int]]):
         rows, taken, sequence = [], {}, 0
         for filling, used in plan:
             offset = 0
@@ -326,14 +221,16 @@ def _placed(places):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0, effort: int = 200_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece. effort: the search's most steps."""
     spark = docs.sparkSession
     work = Work(spark, "packing")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = work.save(slim.mapInArrow(_pieces(tokenizer_path, end, capacity, False), _PIECE), "pieces")
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # `capacity` rows at most
-    places = Places(pack(counts, capacity))
+    plan = pack(counts, capacity, effort)
+    _LOG.info("%d sequences; no packing has fewer than %d", plan.bins, plan.bound)
+    places = Places(plan.fillings)
     ordered = pieces.repartitionByRange("length", "doc_id", "piece", "start", "ids_crc32").sortWithinPartitions("length", "doc_id", "piece", "start", "ids_crc32")
     ranked = work.save(ordered.mapInArrow(_ranked, _PIECE + ", part long, rank long"), "ranked")
     work.drop("pieces")

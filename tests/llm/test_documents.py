@@ -1,6 +1,7 @@
 """Operators over documents, held against brute force, on a small table with nulls, repeats, ties, empty and odd texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evlog.llm import decontaminate, langid, linededup, lm, packing, simhash, substring
+from evlog.llm import completion, decontaminate, langid, linededup, lm, packing, simhash, substring
 from evlog.llm.queries import tokenizer_path
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, hash string, batch int, code long"
@@ -365,9 +366,10 @@ def test_language_id_bounds_its_matrix(docs):
 
 def test_encoder_equals_the_tokenizer(rows):
     encoder, own = packing.Encoder(tokenizer_path()), packing.tokenizer(tokenizer_path())
-    texts = [t or "" for _, t, *_ in rows] + ["don't we'll\nI'm", "a\u3000b c\u00a0d e", "<|endoftext|> x <|endoftext|>", " lead", "trail ", "a\n\nb", "x\n y", "12,5 %% 7"]
+    texts = [t or "" for _, t, *_ in rows] + ["don't we'll\nI'm", "a\u3000b c\u00a0d e", "<|endoftext|> x <|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|>", " lead", "trail ", "a\n\nb", "x\n y", "12,5 %% 7"]
     want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.chunked and encoder.encode(texts) == want == encoder.encode(texts)
+    assert 50256 in own.encode("<|endoftext|>", add_special_tokens=False).ids
 
 
 def test_packing(docs, rows, empty):
@@ -423,20 +425,84 @@ def smallest(sizes, capacity):
     return best
 
 
-@pytest.mark.parametrize("seed", range(25))
+def held(plan, capacity):
+    assert all(sum(s * k for s, k in f.items()) <= capacity and n > 0 for f, n in plan)
+    return Counter({s: sum(f.get(s, 0) * n for f, n in plan) for s in {s for f, _ in plan for s in f}})
+
+
+@pytest.mark.parametrize("seed", range(500))
 def test_bin_completion_finds_the_least_number_of_bins(seed):
     rng = random.Random(seed)
-    sizes = sorted((rng.randint(15, 60) for _ in range(10)), reverse=True)
-    plan = packing.pack(dict(Counter(sizes)), 100)
-    assert Counter(s for f, n in plan for s, k in f.items() for _ in range(k * n)) == Counter(sizes)
-    assert all(sum(s * k for s, k in f.items()) <= 100 for f, _ in plan)
-    assert sum(n for _, n in plan) == smallest(sizes, 100)
+    low, high = rng.choice([(15, 60), (1, 100), (20, 45), (30, 55), (5, 30)])
+    sizes = sorted((rng.randint(low, high) for _ in range(rng.randint(1, 10))), reverse=True)
+    if seed % 3 == 0:  # sizes that come again
+        sizes = sorted((rng.choice(sizes[:4]) for _ in range(10)), reverse=True)
+    plan = completion.pack(dict(Counter(sizes)), 100)
+    best = smallest(sizes, 100)
+    assert held(plan.fillings, 100) == Counter(sizes)
+    assert plan.bins == plan.bound == best and plan.proven
+    first = completion.best_fit_decreasing(dict(Counter(sizes)), 100)
+    assert held(first, 100) == Counter(sizes) and sum(n for _, n in first) == best_fit_by_hand(sizes, 100)
+
+
+def best_fit_by_hand(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - s)
+    return len(rooms)
+
+
+def test_bin_completion_where_best_fit_is_not_enough():
+    counts = {35: 2, 20: 1, 45: 2, 38: 3, 37: 1, 18: 1, 39: 1, 27: 2, 41: 2, 40: 1, 25: 1}
+    assert sum(n for _, n in completion.best_fit_decreasing(counts, 100)) == 7
+    plan = completion.pack(counts, 100)
+    assert (plan.bins, plan.bound, plan.proven) == (6, 6, True)
+
 
+def test_bin_completion_tells_the_gap_when_it_stops():
+    counts = {35: 2, 20: 1, 45: 2, 38: 3, 37: 1, 18: 1, 39: 1, 27: 2, 41: 2, 40: 1, 25: 1}
+    plan = completion.pack(counts, 100, effort=2)
+    assert held(plan.fillings, 100) == Counter(counts) and plan.bound <= 6 < plan.bins and not plan.proven
 
-def test_bin_completion_beats_best_fit_where_it_can():
-    sizes = {44: 1, 31: 2, 28: 1, 26: 1, 24: 1, 16: 1}  # 100 | 100: 44+31+... by completion
-    assert sum(n for _, n in packing.pack(sizes, 100)) <= sum(n for _, n in packing.best_fit_decreasing(sizes, 100))
 
+def test_bin_completion_of_many_sizes():
+    rng = random.Random(1)
+    counts = Counter(rng.randint(1, 2048) for _ in range(20_000))
+    plan = completion.pack(dict(counts), 2048)
+    assert held(plan.fillings, 2048) == counts and plan.bins - plan.bound <= 0.002 * plan.bins
+    assert completion.pack({}, 2048) == completion.Plan([], 0, True)
 
-def test_dominance():
-    assert packing.dominates([50, 30], [30, 25, 20]) and not packing.dominates([50, 30], [40, 35]) and packing.dominates([40], [40])
+
+def dominates(better, other):
+    """Whether the parts of `other` fit, put together, into those of `better`."""
+
+    def place(parts, rooms):
+        return not parts or any(room >= parts[0] and place(parts[1:], rooms[:i] + [room - parts[0]] + rooms[i + 1 :]) for i, room in enumerate(rooms))
+
+    return sum(better) >= sum(other) and place(sorted(other, reverse=True), list(better))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_undominated_fillings(seed):
+    """All fillings that no other dominates, by comparing all pairs."""
+    rng = random.Random(seed)
+    parts, room = [rng.randint(1, 30) for _ in range(rng.randint(1, 9))], rng.randint(10, 60)
+    sizes = sorted(set(parts), reverse=True)
+    counts = [parts.count(s) for s in sizes]
+    every = {tuple(sorted(c)) for n in range(len(parts) + 1) for c in itertools.combinations(parts, n) if sum(c) <= room}
+    want = {c for c in every if not any(o != c and dominates(o, c) for o in every)}
+    found = [tuple(sorted(sizes[i] for i, k in f.items() for _ in range(k))) for f in completion.completions(sizes, counts, 0, room, completion._Budget(10**6), lambda: room)]
+    assert len(set(found)) == len(found) and set(found) == want
+    assert [room - sum(f) for f in found] == sorted(room - sum(f) for f in found)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_lower_bound(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 100) for _ in range(rng.randint(1, 8))]
+    own = Counter(sizes)
+    bound = completion.lower_bound(np.array(sorted(own)), np.array([own[s] for s in sorted(own)]), 100)
+    assert -(-sum(sizes) // 100) <= bound <= smallest(sorted(sizes, reverse=True), 100)
