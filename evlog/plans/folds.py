@@ -52,6 +52,10 @@ class Fold:
         """The event types that the fold looks at; None: all."""
         return None
 
+    def expressions(self) -> list[str | None]:
+        """The SQL that the fold is given in."""
+        return []
+
 
 def _union_types(groups) -> set[str] | None:
     groups = list(groups)
@@ -84,6 +88,9 @@ class Aggregates(Fold):
     def types(self):
         return _union_types(m.types for m in self.measures.values())
 
+    def expressions(self):
+        return [*(m.value for m in self.measures.values()), *self.key_columns.values()]
+
     def _value(self, m: Measure) -> Column:
         value = F.lit(1) if m.value is None else F.expr(m.value)
         if m.kind in ("sum", "avg") and m.digits is not None:
@@ -144,6 +151,9 @@ class Latest(Fold):
     def types(self):
         return _union_types([self.upsert, self.delete])
 
+    def expressions(self):
+        return [*self.fields.values(), self.where]
+
     def partial(self, events):
         seen = of_types(self.upsert) | of_types(self.delete) if self.upsert != "*" else F.lit(True)
         gone = F.col("type").isin(list(self.delete)) if self.delete else F.lit(False)
@@ -172,6 +182,9 @@ class Fields(Fold):
     def types(self):
         return _union_types(tuple(w) for w in self.fields.values())
 
+    def expressions(self):
+        return [e for writes in self.fields.values() for e in writes.values()]
+
     def _assigned(self, name: str) -> Column:
         writes = self.fields[name]
         return F.struct(F.expr("CASE" + "".join(f" WHEN type = '{t}' THEN {e}" for t, e in writes.items()) + " END").alias("v"))
@@ -207,6 +220,9 @@ class Resettable(Fold):
     def types(self):
         return _union_types([tuple(self.add), self.reset])
 
+    def expressions(self):
+        return list(self.add.values())
+
     def partial(self, events):
         given = F.expr("CASE" + "".join(f" WHEN type = '{t}' THEN {e}" for t, e in self.add.items()) + " END").cast(T.DecimalType(28, self.digits))
         slim = events.where(of_types((*self.add, *self.reset))).select(self.key, POSITION, F.col("type").isin(list(self.reset)).alias("is_reset"), given.alias("given"))
@@ -275,11 +291,14 @@ class Machine(Fold):
         return self._run(events, None)
 
     def advance(self, state: DataFrame | None, events: DataFrame) -> DataFrame:
-        """The state after more events: this fold can't merge two states, it goes on from one."""
+        """The states after more events of the keys that have any: this fold goes on from a key's state."""
+        if state is not None:
+            state = state.join(events.where(of_types(self.only)).select(F.col(self.key).cast("string").alias("k")), "k", "left_semi")
         return self._run(events, state)
 
     def merge(self, older, newer):
-        raise SpecError("a general fold goes on from a state; it doesn't merge states")
+        """Of a key's states the one that has seen most: each goes on from those before."""
+        return older.unionByName(newer).groupBy("k").agg(F.max_by("state", "at").alias("state"), F.max("at").alias("at"))
 
     def finish(self, state):
         return state.select(F.col("k").alias(self.key), "state")

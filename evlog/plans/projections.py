@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 import zlib
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..model import AlreadyRegisteredError, CheckpointCorruptionError, CheckpointLoadError, CheckpointVersionError, ProjectionDisabledError, ProjectionNotFoundError, SpecError
+from ..model import AlreadyRegisteredError, CheckpointCorruptionError, CheckpointLoadError, CheckpointVersionError, CheckpointWriteError, ProjectionDisabledError, ProjectionNotFoundError, SpecError
 from ..operators.views import View
-from ..sources.files import Files
-from .folds import Fold, Machine
+from ..sources.files import Files, Journal
+from .folds import Fold, Machine, of_types
 
-FORMAT = 1
+FORMAT = 2
 
 
 @dataclass(frozen=True)
 class Options:
-    """How a projection is kept up to date: how often, in batches of how many commits, with or apart from the others."""
+    """How a projection is kept up to date: how often, in batches of how many commits, with or apart from the others.
+
+    checkpoint_ms: 0, every micro-batch stores its state; else micro-batches, and states, come so often, give or take
+    jitter_ms, and take as many polls' worth of commits at once."""
 
     poll_ms: int = 100
     batch_commits: int = 100
-    checkpoint_ms: int = 5000
+    checkpoint_ms: int = 0
+    jitter_ms: int = 1000
     shared_reader: bool = True
     enabled: bool = True
 
@@ -47,13 +54,9 @@ class Projection:
         wanted = self.fold.types()
         if self.subscribed != "*" and wanted is not None and not wanted <= set(self.subscribed):
             raise SpecError(f"{self.name} folds types it doesn't subscribe to: {sorted(wanted - set(self.subscribed))}")
-        check_pure(self.condition)
+        check_pure(self.condition, *self.fold.expressions())
 
     def sees(self) -> Column:
-        from pyspark.sql import functions as F
-
-        from .folds import of_types
-
         own = of_types(self.subscribed)
         return own & F.coalesce(F.expr(self.condition), F.lit(False)) if self.condition else own
 
@@ -63,13 +66,18 @@ class Projection:
 
 
 #: Functions whose value depends on more than the row: a fold that uses one would not give the same rows again.
-IMPURE = ("rand(", "randn(", "uuid(", "current_timestamp", "now(", "current_date", "monotonically_increasing_id", "spark_partition_id", "input_file_name", "shuffle(", "random(", "localtimestamp", "curdate")
+IMPURE = ("rand", "randn", "random", "uniform", "randstr", "uuid", "shuffle", "current_timestamp", "now", "current_date", "current_time", "curdate", "localtimestamp", "unix_timestamp", "current_user", "monotonically_increasing_id", "spark_partition_id", "input_file_name")
+#: Of these the ones that SQL takes without parentheses too.
+_BARE = ("current_timestamp", "current_date", "current_time", "localtimestamp", "current_user")
 
 
-def check_pure(expression: str | None) -> None:
-    found = [name for name in IMPURE if expression and name in expression.lower()]
-    if found:
-        raise SpecError(f"not the same at every run: {', '.join(found)}")
+def check_pure(*expressions: str | None) -> None:
+    """Names in quotes or with more letters around them are none of these functions."""
+    for expression in filter(None, expressions):
+        bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`", "''", expression.lower())
+        found = sorted({name for name in IMPURE if re.search(rf"(?<![\w.]){name}\s*\(", bare) or name in _BARE and re.search(rf"(?<![\w.]){name}(?!\w)", bare)})
+        if found:
+            raise SpecError(f"not the same at every run: {', '.join(found)}")
 
 
 class Registry:
@@ -103,77 +111,115 @@ class Registry:
 
 
 class StateStore:
-    """A projection's states, each a table of its own; `current.json`, replaced last, names the one that counts, the position
-    it has reached, and a checksum over both. A state is written once and never changed, so a crash leaves the one before."""
+    """A projection's state as runs: tables that together are the state. Taking a batch in writes the batch's own run; when
+    `fanout` runs of about a size have come together they are merged into one, so a step costs what the batch costs.
 
-    def __init__(self, spark: SparkSession, path: str, name: str):
-        self.spark, self.path, self.files = spark, f"{path.rstrip('/')}/{name}", Files(spark, f"{path.rstrip('/')}/{name}")
+    Each step is an entry of a journal: the runs, the position reached, and a checksum. Of two coordinators that go on from
+    the same entry one is refused, so none overwrites the other's state. The runs of the last `keep` entries stay, for those
+    who read them; a crash leaves the entry before."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str, fanout: int = 8, keep: int = 10):
+        self.spark, self.path, self.fanout, self.keep = spark, f"{path.rstrip('/')}/{name}", fanout, keep
+        self.files = Files(spark, self.path)
+        self.journal = Journal(self.files, "steps")
 
     @staticmethod
     def _sum(body: dict) -> int:
         return zlib.crc32(json.dumps({k: v for k, v in body.items() if k != "crc"}, sort_keys=True).encode())
 
-    def current(self) -> dict | None:
-        if not self.files.exists("current.json"):
-            return None
+    def _newest(self) -> tuple[int, dict | None]:
+        number = max(self.journal.numbers(), default=-1)
+        if number < 0:
+            return number, None
         try:
-            body = json.loads(self.files.read("current.json"))
+            body = json.loads(self.files.read(self.journal.name(number)))
         except ValueError as e:
             raise CheckpointCorruptionError(f"{self.path}: not a checkpoint") from e
         if body.get("format") != FORMAT:
             raise CheckpointVersionError(f"{self.path}: format {body.get('format')}")
         if body.get("crc") != self._sum(body):
             raise CheckpointCorruptionError(f"{self.path}: checksum")
-        return body
+        return number, body
+
+    def current(self) -> dict | None:
+        return self._newest()[1]
 
     def position(self) -> int:
         """The last position that the state has seen; -1: none."""
         body = self.current()
         return -1 if body is None else body["position"]
 
-    def load(self) -> DataFrame | None:
+    def list(self) -> list[tuple[int, int, int]]:
+        """(number, position, when it was stored) of the states that are kept."""
+        bodies = [(n, json.loads(self.files.read(self.journal.name(n)))) for n in self.journal.numbers()]
+        return [(n, b["position"], b["saved_ms"]) for n, b in bodies]
+
+    def runs(self, body: dict) -> list[DataFrame]:
+        for folder, _ in body["runs"]:
+            if not self.files.exists(folder):
+                raise CheckpointLoadError(f"{self.path}: the state {folder} is gone")
+        return [self.spark.read.parquet(f"{self.path}/{folder}") for folder, _ in body["runs"]]
+
+    def load(self, fold: Fold) -> DataFrame | None:
+        """The state as one table; None before there is any."""
         body = self.current()
-        if body is None:
-            return None
-        if not self.files.exists(body["folder"]):
-            raise CheckpointLoadError(f"{self.path}: the state {body['folder']} is gone")
-        return self.spark.read.parquet(f"{self.path}/{body['folder']}")
-
-    def save(self, state: DataFrame, position: int) -> None:
-        before, folder = self.current(), uuid.uuid4().hex
-        state.write.parquet(f"{self.path}/{folder}")
-        body = {"format": FORMAT, "folder": folder, "position": position, "saved_ms": int(time.time() * 1000)}
-        self.files.replace("current.json", json.dumps(body | {"crc": self._sum(body)}))
-        if before is not None:
-            self.files.delete(before["folder"])
+        return None if body is None else merged(fold, self.runs(body))
+
+    def save(self, run: DataFrame, position: int, fold: Fold, whole: bool = False) -> None:
+        """Store a step: a run more (whole: instead of all before), and the position reached with it."""
+        number, before = self._newest()
+        runs = [] if whole or before is None else before["runs"]
+        folder = f"runs/{uuid.uuid4().hex}"
+        run.write.parquet(f"{self.path}/{folder}")
+        runs, made = [*runs, [folder, 0]], [folder]
+        while len(same := [r for r in runs if r[1] == runs[-1][1]]) >= self.fanout:
+            folder = f"runs/{uuid.uuid4().hex}"
+            merged(fold, self.runs({"runs": same})).write.parquet(f"{self.path}/{folder}")
+            runs, made = [*[r for r in runs if r not in same], [folder, same[0][1] + 1]], [*made, folder]
+        body = {"format": FORMAT, "runs": runs, "position": position, "saved_ms": int(time.time() * 1000)}
+        if not self.journal.publish(number + 1, body | {"crc": self._sum(body)}):
+            raise CheckpointWriteError(f"{self.path}: another coordinator has stored a state past {number}")
+        for passing in made[:-1]:  # merged within this step: no entry names them
+            self.files.delete(passing)
+        self._forget(number + 1)
+
+    def _forget(self, newest: int) -> None:
+        """Remove entries beyond the last `keep`, and the runs that only they name."""
+        old = [n for n in self.journal.numbers() if n <= newest - self.keep]
+        if not old:
+            return
+        named = {folder for n in self.journal.numbers() if n not in old for folder, _ in json.loads(self.files.read(self.journal.name(n)))["runs"]}
+        for n in old:
+            for folder, _ in json.loads(self.files.read(self.journal.name(n)))["runs"]:
+                if folder not in named:
+                    self.files.delete(folder)
+            self.files.delete(self.journal.name(n))
 
     def reset(self) -> None:
         for name in self.files.names(""):
             self.files.delete(name)
 
 
+def merged(fold: Fold, runs: list[DataFrame]) -> DataFrame:
+    """Runs of a state as one: any number of them in one aggregation by key."""
+    return runs[0] if len(runs) == 1 else fold.merge(reduce(DataFrame.unionByName, runs[:-1]), runs[-1])
+
+
 def advance(projection: Projection, store: StateStore, events: DataFrame, upto: int) -> int:
     """Take events up to a position into the stored state: those it has seen already are left out, so a batch that comes again
     changes nothing. Returns the position reached."""
-    from pyspark.sql import functions as F
-
     seen = store.position()
     if upto <= seen:
         return seen
     new = events.where((F.col("global_position") > seen) & (F.col("global_position") <= upto)).where(projection.sees())
-    older = store.load()
-    if isinstance(projection.fold, Machine):
-        state = projection.fold.advance(older, new)
-    else:
-        state = projection.fold.partial(new)
-        state = state if older is None else projection.fold.merge(older, state)
-    store.save(state, upto)
+    fold = projection.fold
+    store.save(fold.advance(store.load(fold), new) if isinstance(fold, Machine) else fold.partial(new), upto, fold)
     return upto
 
 
 def model(projection: Projection, store: StateStore, empty: DataFrame) -> DataFrame:
     """The read model of the stored state; of no events, before there is one."""
-    state = store.load()
+    state = store.load(projection.fold)
     return projection.fold.finish(projection.fold.partial(empty) if state is None else state)
 
 

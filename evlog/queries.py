@@ -319,7 +319,7 @@ def kv_latest(spark, sf_dir):
     middle = rows.agg(F.max("global_position")).first()[0] // 2
     for part in (rows.where(F.col("global_position") <= middle), rows.where(F.col("global_position") > middle)):
         last = part.groupBy("stream_id").agg(F.max_by("type", "global_position").alias("value"))
-        kv._write(last.select(F.col("stream_id").alias("key"), "value", (F.col("value") == "error").alias("deleted")))
+        kv.write(last.select(F.col("stream_id").alias("key"), "value", (F.col("value") == "error").alias("deleted")))
     kv.compact()
     return kv.live()
 

@@ -8,7 +8,7 @@ A projection that fails stops its query; no event is passed over.
 
 from __future__ import annotations
 
-import json
+import random
 import time
 
 from pyspark.sql import DataFrame
@@ -18,11 +18,24 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import EVENT_DDL, BackpressureTimeoutError, CatchUpTimeoutError, CoordinatorError, NotStartedError, ProjectionBuildError
 from ..operators.telemetry import health
 from ..plans.folds import of_types, union_of_types
-from ..plans.projections import Projection, Registry, StateStore, advance, model, view
+from ..plans.projections import Options, Projection, Registry, StateStore, advance, model, view
 from ..sources.log import EventLog
 
 
+def schedule(options: list[Options]) -> tuple[int, int]:
+    """Commits a micro-batch and milliseconds between micro-batches for projections that share a reader: the shortest of what
+    any of them asks for. The jitter keeps readers that were started together from storing together."""
+    each = []
+    for o in options:
+        pause = o.poll_ms if not o.checkpoint_ms else max(o.poll_ms, o.checkpoint_ms + random.randint(-o.jitter_ms, o.jitter_ms))
+        each.append((pause, max(1, o.batch_commits * pause // max(1, o.poll_ms))))
+    return min(n for _, n in each), min(p for p, _ in each)
+
+
 class Coordinator:
+    """Runs the projections of a registry over a log. Two coordinators over one path don't harm each other: the second to store
+    a step is refused (StateStore), its query stops, and the states go on from the first's."""
+
     def __init__(self, log: EventLog, registry: Registry, path: str | None = None):
         self.log, self.registry, self.spark = log, registry, log.spark
         self.path = (path or f"{log.path}/projections").rstrip("/")
@@ -50,22 +63,21 @@ class Coordinator:
             self.queries[name] = self._start(name, group)
 
     def _start(self, name: str, group: list[Projection], once: bool = False) -> StreamingQuery:
-        options = group[0].options
-        commits = self.spark.readStream.format("text").option("maxFilesPerTrigger", options.batch_commits).option("pathGlobFilter", "*.json").load(f"{self.log.path}/_log")
+        batch_commits, pause = schedule([p.options for p in group])
+        commits = self.spark.readStream.format("text").option("maxFilesPerTrigger", batch_commits).option("pathGlobFilter", "*.json").load(f"{self.log.path}/_log")
 
         def take(batch: DataFrame, _: int) -> None:
-            found = [json.loads(r.value) for r in batch.collect()]  # a row a commit
-            self.take(group, [c for c in found if not c.get("replaces") and c["count"]])
+            part = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind)
+            found = batch.where(F.coalesce(part("replaces[0]", "string"), F.lit("")) == "").agg(F.max(part("base", "long") + part("count", "long"))).first()[0]
+            if found:
+                self.take(group, found - 1)
 
         writer = commits.writeStream.queryName(f"evlog-{name}-{id(self)}").foreachBatch(take).option("checkpointLocation", f"{self.path}/reader-{name}")
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{options.poll_ms} milliseconds")).start()
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{pause} milliseconds")).start()
 
-    def take(self, group: list[Projection], commits: list[dict]) -> None:
-        """Bring the group's states up to the last of the commits. Positions, not micro-batches, say what is new; after a
-        compaction the events are where the log says now."""
-        if not commits:
-            return
-        upto = max(c["base"] + c["count"] for c in commits) - 1
+    def take(self, group: list[Projection], upto: int) -> None:
+        """Bring the group's states up to a position. Positions, not micro-batches, say what is new; after a compaction the
+        events are where the log says now."""
         seen = min(self.store(p.name).position() for p in group)
         if upto <= seen:
             return

@@ -93,15 +93,14 @@ def test_the_general_fold_in_steps(spark, events, history, tmp_path):
 
 def test_stored_states_are_checked(spark, events, tmp_path):
     projection, store = Projection("p", FOLDS["latest"]), StateStore(spark, f"file://{tmp_path}", "p")
-    assert store.load() is None and store.position() == -1
+    assert store.load(projection.fold) is None and store.position() == -1
     advance(projection, store, events, 50)
-    file = tmp_path / "p" / "current.json"
+    file = tmp_path / "p" / store.journal.name(0)
     good = json.loads(file.read_text())
     for change, error in (({"position": 9}, model.CheckpointCorruptionError), ({"format": 99}, model.CheckpointVersionError)):
-        (tmp_path / "p" / ".current.json.crc").unlink(missing_ok=True)
         file.write_text(json.dumps(good | change))
         with pytest.raises(error):
-            store.load()
+            store.load(projection.fold)
     store.reset()
     assert store.position() == -1
 
@@ -134,6 +133,10 @@ def test_projection_specs_and_the_registry():
         Projection("x", FOLDS["latest"], subscribed=("Up",))
     with pytest.raises(model.SpecError):
         check_pure("v > rand()")
+    for impure in (Aggregates({"n": Measure("sum", "v * random ( )")}), Aggregates({"n": Measure("count")}, key_columns={"d": "date_format(current_timestamp, 'yyyy')"}), Latest("stream_id", {"v": "uuid()"}), Latest("stream_id", {"v": "v"}, where="now() > ts"), Fields("stream_id", {"v": {"Up": "rand()"}}), Resettable("stream_id", {"Up": "randn()"}, ("Down",))):
+        with pytest.raises(model.SpecError, match="same at every run"):
+            Projection("x", impure)
+    check_pure("brand(v) + data.now", "'rand()'", "now_at = `uuid()`", None)
 
 
 # -- views

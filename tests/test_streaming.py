@@ -3,10 +3,10 @@
 import pytest
 
 from evlog import model
-from evlog.plans.folds import Aggregates, Latest, Measure, signed_sum
-from evlog.plans.projections import Projection, Registry
+from evlog.plans.folds import Aggregates, Latest, Machine, Measure, signed_sum
+from evlog.plans.projections import Options, Projection, Registry
 from evlog.sources.log import EventLog
-from evlog.streaming.coordinator import Coordinator, tail
+from evlog.streaming.coordinator import Coordinator, schedule, tail
 
 AMOUNT = "CAST(get_json_object(data, '$.amount') AS DOUBLE)"
 REVENUE = Projection("revenue", signed_sum({"Placed": AMOUNT}, {"Refunded": AMOUNT}), ("Placed", "Refunded"))
@@ -112,3 +112,72 @@ def test_tail(log):
     assert [r.global_position for r in rows.collect()] == [0, 1, 2] and at == 2
     rows, at = tail(log, at)
     assert rows.count() == 2 and tail(log, at)[1] == at == 4
+
+
+def test_states_are_runs_that_merge_and_readers_keep_theirs(log):
+    own = coordinator(log)
+    fill(log, 1)
+    own.run_once()
+    before = own.model("directory")
+    rows = sorted(map(repr, before.collect()))
+    for _ in range(7):
+        log.append("u-2", [ev("Created", name="again"), ev("Placed", amount=1.0)])
+        own.run_once()
+    assert sorted(map(repr, before.collect())) == rows  # a DataFrame of an earlier state still reads
+    check(log, own)
+    store = own.store("revenue")
+    assert len(store.current()["runs"]) == 1 and len(store.list()) == 8 and [p for _, p, _ in store.list()] == sorted(p for _, p, _ in store.list())
+    for _ in range(6):
+        log.append("u-2", [ev("Placed", amount=1.0)])
+        own.run_once()
+    assert len(store.list()) == store.keep and len(store.files.names("runs")) == 14
+    check(log, own)
+
+
+def test_a_general_fold_goes_on_from_the_states_of_its_keys(log):
+    registry = Registry()
+    machine = Machine("stream_id", lambda state, event: {"n": state["n"] + 1, "last": event["position"]}, {"n": 0, "last": None})
+    registry.register(Projection("machine", machine))
+    own = Coordinator(log, registry)
+    for i in range(10):
+        fill(log, 1) if i % 4 == 0 else log.append("u-7", [ev("Placed")])
+        own.run_once()
+    check(log, own)
+
+
+def test_two_coordinators_do_not_overwrite_each_other(log):
+    one, two = coordinator(log), coordinator(log)
+    fill(log, 1)
+    one.run_once()
+    store, late = one.store("revenue"), two.store("revenue")
+    late._newest = lambda seen=late._newest(): seen  # has read the state before the other went on
+    log.append("a", [ev("Placed", amount=2.0)])
+    one.run_once()
+    with pytest.raises(model.CheckpointWriteError):
+        late.save(REVENUE.fold.partial(log.committed()), 0, REVENUE.fold)
+    assert store.position() == log.durable_position() - 1
+    check(log, one)
+
+
+def test_damaged_states_are_found(log):
+    own = coordinator(log)
+    fill(log, 1)
+    own.run_once()
+    store = own.store("revenue")
+    name = store.journal.name(0)
+    good = store.files.read(name)
+    for text, error in (("{", model.CheckpointCorruptionError), (good.replace('"position": ', '"position": 1'), model.CheckpointCorruptionError), (good.replace('"format": 2', '"format": 9'), model.CheckpointVersionError)):
+        store.files.replace(name, text)
+        with pytest.raises(error):
+            store.position()
+    store.files.replace(name, good)
+    store.files.delete(store.current()["runs"][0][0])
+    with pytest.raises(model.CheckpointLoadError):
+        own.model("revenue")
+
+
+def test_schedules():
+    assert schedule([Options(), Options(poll_ms=50, batch_commits=7)]) == (7, 50)
+    commits, pause = schedule([Options(checkpoint_ms=5000, jitter_ms=1000)])
+    assert 4000 <= pause <= 6000 and commits == pause
+    assert schedule([Options(checkpoint_ms=10, jitter_ms=1000)])[1] >= 100
