@@ -76,6 +76,17 @@ class Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores more where df has them already: names differ in more than case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: A key that holds this share of all rows, or more, counts as hot. At most its inverse many keys can.
 HOT_SHARE = 1 / 2000
 

@@ -18,6 +18,8 @@ documents without hits. Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,8 @@ from .common import LOWER, Work, batch, hash_words, slices, utf8
 #: Bytes that are no word's to a space, A-Z to a-z.
 _WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER)
 
-_INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.binary()), ("terms", pa.binary()), ("words", pa.binary()), ("list_ends", pa.binary()), ("positions", pa.binary())])
-_INDEX_DDL = "doc_ids array<long>, doc_ends binary, terms binary, words binary, list_ends binary, positions binary"
+_INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.string())), ("doc_ends", pa.binary()), ("terms", pa.binary()), ("words", pa.binary()), ("list_ends", pa.binary()), ("positions", pa.binary())])
+_INDEX_DDL = "doc_ids array<long>, marks array<string>, doc_ends binary, terms binary, words binary, list_ends binary, positions binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,7 +50,8 @@ def _segment(part: pa.RecordBatch) -> pa.RecordBatch:
     positions = order.astype(np.uint32)
     positions[1:] -= positions[:-1].copy()
     blobs = np.searchsorted(starts, edges).astype(np.int64), sorted_h[first], spelled, np.append(first[1:], len(h)).astype(np.int64), positions
-    return batch(_INDEX, [part.column("doc_id").to_pylist()], *([b if isinstance(b, bytes) else b.tobytes()] for b in blobs))
+    marks = part.column("mark").to_pylist() if "mark" in part.schema.names else None
+    return batch(_INDEX, [part.column("doc_id").to_pylist()], [marks], *([b if isinstance(b, bytes) else b.tobytes()] for b in blobs))
 
 
 def _indexed(segment_bytes: int):
@@ -60,15 +63,16 @@ def _indexed(segment_bytes: int):
     return run
 
 
-def build_index(docs: DataFrame, segment_bytes: int = 8 << 20) -> DataFrame:
-    """The index of all documents, as a table: a row a segment."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def build_index(docs: DataFrame, segment_bytes: int = 8 << 20, mark: F.Column | None = None) -> DataFrame:
+    """The index of all documents, as a table: a row a segment. mark: a string that the index carries for each document, for
+    those whose documents have no id of their own."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if mark is None else [mark.alias("mark")]))
     return Work(docs.sparkSession, "index").save(slim.mapInArrow(_indexed(segment_bytes), _INDEX_DDL).withColumn("segment", F.monotonically_increasing_id()), "segments")
 
 
 class Segment:
     def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
+        self.doc_ids, self.marks = row["doc_ids"], row["marks"]
         self.doc_ends, self.list_ends = (np.frombuffer(row[k], np.int64) for k in ("doc_ends", "list_ends"))
         self.terms, self.row = np.frombuffer(row["terms"], np.uint64), row
         self.positions = np.cumsum(np.frombuffer(row["positions"], np.uint32), dtype=np.uint32)
@@ -133,8 +137,9 @@ def windows(items: list[tuple[int, list[bytes]]], size: int):
                 yield item, words[i : i + size]
 
 
-def _phrases(items: list[tuple[int, list[bytes]]], size: int):
+def _phrases(sent, size: int):
     def run(batches):
+        items = sent.value
         vocabulary = sorted({w for _, words in items for w in words})
         sought = {}
         for item, words in windows(items, size):
@@ -173,13 +178,14 @@ def _rows(number: int, segment: Segment, firsts: np.ndarray, ends: np.ndarray, f
     places = np.searchsorted(doc, np.arange(len(doc_ends) + 1)).astype(np.int32)
     n = len(doc_ends)
     return pa.RecordBatch.from_arrays(
-        [pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), pa.array(segment.doc_ids, pa.int64()), pa.array(doc_ends - begins), pa.ListArray.from_arrays(pa.array(places), spans), pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.int64()))],
-        ["segment", "place", "doc_id", "n_words", "spans", "item_ids"],
+        [pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), pa.array(segment.doc_ids, pa.int64()), pa.array(segment.marks or [None] * n, pa.string()), pa.array(doc_ends - begins), pa.ListArray.from_arrays(pa.array(places), spans), pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.int64()))],
+        ["segment", "place", "doc_id", "mark", "n_words", "spans", "item_ids"],
     )
 
 
-def _near(items: list[tuple[int, list[bytes]]], size: int, slop: int):
+def _near(sent, size: int, slop: int):
     def run(batches):
+        items = sent.value
         vocabulary = sorted({w for _, words in items for w in words})
         for rows in batches:
             for row in rows.to_pylist():
@@ -199,7 +205,7 @@ def _near(items: list[tuple[int, list[bytes]]], size: int, slop: int):
 
 
 def _blocks(items: DataFrame, block_words: int):
-    """The items with their words, in blocks of bounded size: what is sent to all segments at once."""
+    """The items with their words, in blocks of bounded size: the driver holds one at a time, which is sent to all segments."""
     held, size = [], 0
     for row in items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         held.append((row.item_id, words_of(row.text)))
@@ -207,21 +213,37 @@ def _blocks(items: DataFrame, block_words: int):
         if size >= block_words:
             yield held
             held, size = [], 0
-    yield held
+    if held:
+        yield held
+
+
+def _by_block(index: DataFrame, items: DataFrame, block_words: int, task, schema: str, only: str) -> tuple[DataFrame, int]:
+    """The rows of task(block) over the index for each block of items, and how many blocks there are; of blocks after the first
+    those rows for which `only` holds. A block is broadcast, its rows are stored, and it is forgotten: neither the driver nor
+    the plan holds more than one."""
+    context, work = index.sparkSession.sparkContext, Work(index.sparkSession, "matches")
+    stored, held = [], []
+    for block in _blocks(items, block_words):
+        if held:
+            sent = context.broadcast(held)
+            rows = index.mapInArrow(task(sent), schema)
+            stored.append(work.save(rows.where(only) if stored else rows, f"block-{len(stored)}"))
+            sent.destroy()
+        held = block
+    last = index.mapInArrow(task(context.broadcast(held)), schema)
+    if not stored:
+        return last, 1
+    return reduce(DataFrame.unionByName, [*stored, last.where(only)]), len(stored) + 1
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, block_words: int = 1 << 20) -> DataFrame:
-    """doc_id, n_words, spans (runs of hit words, [first, end)), item_ids: a row for each document."""
-    schema = "segment long, place long, doc_id long, n_words long, spans array<struct<first:long,end:long>>, item_ids array<long>"
-    found = [index.mapInArrow(_phrases(block, window), schema) for block in _blocks(items, block_words)]
-    if len(found) > 1:
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
+    """doc_id, mark, n_words, spans (runs of hit words, [first, end)), item_ids: a row for each document."""
+    schema = "segment long, place long, doc_id long, mark string, n_words long, spans array<struct<first:long,end:long>>, item_ids array<long>"
+    rows, blocks = _by_block(index, items, block_words, lambda sent: _phrases(sent, window), schema, "size(spans) > 0")
+    if blocks > 1:  # a document has a row of the first, and of each that hits it
         flat = lambda c: F.flatten(F.collect_list(c))
-        rows = rows.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(flat("spans")).alias("spans"), F.array_sort(F.array_distinct(flat("item_ids"))).alias("item_ids"))
-        found = [rows]
-    return found[0].drop("segment", "place")
+        rows = rows.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), F.array_sort(flat("spans")).alias("spans"), F.array_sort(F.array_distinct(flat("item_ids"))).alias("item_ids"))
+    return rows.drop("segment", "place")
 
 
 def hit_words() -> F.Column:
@@ -233,8 +255,5 @@ def hit_words() -> F.Column:
 
 def proximity_matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 5, block_words: int = 1 << 20) -> DataFrame:
     """doc_id, item_id, first, last: the spans of the documents' words that match a window nearly."""
-    out = None
-    for block in _blocks(items, block_words):
-        found = index.mapInArrow(_near(block, window, slop), "doc_id long, item_id long, first long, last long")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    schema = "doc_id long, item_id long, first long, last long"
+    return _by_block(index, items, block_words, lambda sent: _near(sent, window, slop), schema, "true")[0].distinct()

@@ -11,8 +11,8 @@ A score is the posterior of the predicted language at `evidence` n-grams: the te
 smaller of its grams and `evidence`, so that a long text doesn't count as certain by its length alone.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the language first in order;
-rows with a null language don't train; without labelled rows every text is `und`. Rows that repeat count each. Empty tables
-give no rows. Other columns pass through.
+rows with a null language don't train; without labelled rows every text is `und`. A text of any length counts whole, slice by
+slice. Rows that repeat count each. Empty tables give no rows. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices
+from .common import free, prepare, slices
 
 _TABLE: np.ndarray | None = None
 
@@ -42,15 +42,27 @@ def _letters() -> np.ndarray:
     return _TABLE
 
 
-def normalised(text: str) -> np.ndarray:
-    """The code points of the text's letters, with one space before, between and after."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.concatenate(([np.uint32(32)], _letters()[points], [np.uint32(32)]))
-    return points[~((points == 32) & (np.concatenate(([np.uint32(0)], points[:-1])) == 32))]
+#: So many characters of a text are looked at at once: a long text is counted slice by slice, whole, in bounded memory.
+SLICE = 1 << 18
 
 
-def grams(points: np.ndarray, sizes: tuple[int, ...], buckets: int) -> np.ndarray:
-    """The buckets of the n-grams; buckets is a power of two."""
+def normalised(text: str, slice_: int = SLICE):
+    """The code points of the text's letters, with one space before, between and after, slice by slice."""
+    last = np.uint32(0)
+    for at in range(0, len(text), slice_):
+        points = _letters()[np.frombuffer(text[at : at + slice_].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if not at:
+            points = np.concatenate(([np.uint32(32)], points))
+        if at + slice_ >= len(text):
+            points = np.concatenate((points, [np.uint32(32)]))
+        points = points[~((points == 32) & (np.concatenate(([last], points[:-1])) == 32))]
+        if len(points):
+            last = points[-1]
+            yield points
+
+
+def grams(points: np.ndarray, sizes: tuple[int, ...], buckets: int, seen: int = 0) -> np.ndarray:
+    """The buckets of the n-grams that go beyond the first `seen` points; buckets is a power of two."""
     out, shift = [], np.uint64(64 - (buckets.bit_length() - 1))
     points = points.astype(np.uint64)
     h = np.zeros(len(points), np.uint64)
@@ -60,10 +72,28 @@ def grams(points: np.ndarray, sizes: tuple[int, ...], buckets: int) -> np.ndarra
         h = (h[: len(points) - n + 1] + points[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if n in sizes:
-            out.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64))
+            out.append(((h[max(0, seen - n + 1) :] * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64))
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+def counted(text: str, sizes: tuple[int, ...], buckets: int, slice_: int = SLICE) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A text as a sparse row: the buckets it has n-grams in, rising, and how many; and whether it has a letter."""
+    total, tail, letters = None, np.empty(0, np.uint32), False
+    for points in normalised(text, slice_=slice_):
+        letters = letters or bool((points != 32).any())
+        own = grams(np.concatenate((tail, points)), sizes, buckets, len(tail))
+        tail = np.concatenate((tail, points))[-(max(sizes) - 1) :] if max(sizes) > 1 else tail
+        if total is None and len(text) <= slice_ and 16 * len(own) < buckets:  # a short text: sorting is less than counting
+            found, n = np.unique(own, return_counts=True)
+            return found, n, letters
+        n = np.bincount(own, minlength=buckets)
+        total = n if total is None else total + n
+    if total is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64), False
+    found = np.flatnonzero(total)
+    return found, total[found], letters
+
+
 def _counted(sizes: tuple[int, ...], buckets: int):
     """Rows (lang, bucket, n) of each partition."""
 
@@ -74,7 +104,8 @@ def _counted(sizes: tuple[int, ...], buckets: int):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if lang not in counts:
                         counts[lang] = np.zeros(buckets, np.int64)
-                    counts[lang] += np.bincount(grams(normalised(text), sizes, buckets), minlength=buckets)
+                    found, n, _ = counted(text, sizes, buckets)
+                    counts[lang][found] += n
         for lang, own in counts.items():
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], ["lang", "bucket", "n"])
@@ -85,16 +116,24 @@ def _counted(sizes: tuple[int, ...], buckets: int):
 class Model:
     def __init__(self, languages: list[str], log_p: np.ndarray, prior: np.ndarray, sizes: tuple[int, ...], evidence: int):
         self.languages, self.log_p, self.prior, self.sizes, self.evidence = languages, log_p, prior, sizes, evidence
+        self.columns = [np.ascontiguousarray(log_p[:, i]) for i in range(len(languages))]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Sparse scoring of a batch: one pass over all its n-grams, summed by text."""
-        usable = [i for i, t in enumerate(texts) if self.languages and t and any(c.isalpha() for c in t)]
+        """Sparse scoring of a batch: its texts are the rows of a sparse matrix of bucket counts (row ends, buckets, counts),
+        which is multiplied with the matrix of log probabilities, a language at a time."""
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        usable, rows = [], []
+        for i, text in enumerate(texts):
+            if self.languages and text and (row := counted(text, self.sizes, len(self.log_p)))[2]:
+                usable.append(i)
+                rows.append(row)
         if not usable:
             return names, scores
-        own = [grams(normalised(texts[i]), self.sizes, len(self.log_p)) for i in usable]
-        sums = np.array([self.log_p[g].sum(0, dtype=np.float64) for g in own])
-        lengths = np.array([len(g) for g in own])
+        ends = np.cumsum([len(found) for found, _, _ in rows])
+        buckets, counts = np.concatenate([found for found, _, _ in rows]), np.concatenate([n for _, n, _ in rows]).astype(np.float64)
+        starts = np.concatenate(([0], ends[:-1]))
+        sums = np.stack([np.add.reduceat(counts * column[buckets], starts) for column in self.columns], 1)
+        lengths = np.add.reduceat(counts, starts)
         likely = sums * (np.minimum(lengths, self.evidence) / lengths)[:, None] + self.prior
         likely -= likely.max(1, keepdims=True)
         posterior = np.exp(likely)
@@ -128,22 +167,25 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), buckets: int
     return Model(languages, matrix, np.log([sizes_by[lang] / total for lang in languages]), sizes, evidence)
 
 
-def _predicted(model, schema: T.StructType):
+def _predicted(model, names: list[str]):
     def run(batches):
         for rows in batches:
             for part in slices(rows, "text", 4 << 20):
-                names, scores = model.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*schema.names, "_lang", "_score"])
+                found, scores = model.value.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names)
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _lang and _score besides. docs needs text."""
+def predict(docs: DataFrame, model: Model, lang: str | None = None, score: str | None = None) -> DataFrame:
+    """docs, which needs text, with the language and its score besides, in columns of the given names: by default _lang and
+    _score, with underscores more where docs has these."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     prepare(docs.sparkSession)
-    out = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_predicted(sent, docs.schema), out)
+    own = free(docs, "_lang", "_score")
+    lang, score = lang or own[0], score or own[1]
+    out = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_predicted(sent, out.names), out)
 
 
 def held_out() -> F.Column:

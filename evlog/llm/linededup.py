@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Work, join_hot, slices
+from .common import LOWER, Work, free, join_hot, slices
 
 _SPACE = " \t\n\v\f\r"
 
@@ -99,30 +99,31 @@ class Runs:
             level += 1
 
 
-def _kept(schema: T.StructType, min_chars: int):
+def _kept(columns: list[str], gone: str, names: list[str], min_chars: int):
     """Drops from each text the lines whose hashes stand in its row, and counts."""
 
     def run(rows_in):
         for rows in rows_in:
             for part in slices(rows, "text", 16 << 20):
                 texts, lines, dropped = [], [], []
-                for text, gone in zip(part.column("text").to_pylist(), part.column("_gone").to_pylist(), strict=True):
+                for text, hashes in zip(part.column("text").to_pylist(), part.column(gone).to_pylist(), strict=True):
                     own = (text or "").split("\n")
                     kept = own
-                    if gone:
-                        gone = set(gone)
-                        kept = [x for x in own if line_hash(x, min_chars) not in gone]
+                    if hashes:
+                        hashes = set(hashes)
+                        kept = [x for x in own if line_hash(x, min_chars) not in hashes]
                     texts.append(text if len(kept) == len(own) else "\n".join(kept))
                     lines.append(len(own))
                     dropped.append(len(own) - len(kept))
-                columns = [pa.array(texts, pa.string()) if f.name == "text" else part.column(f.name) for f in schema.fields]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*schema.names, "_n_lines", "_n_dropped"])
+                out = [pa.array(texts, pa.string()) if name == "text" else part.column(name) for name in columns]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*columns, *names])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_docs: int = 1 << 20, least_batches: int = 4, fanout: int = 4) -> DataFrame:
-    """docs with their repeated lines dropped, and _n_lines and _n_dropped besides. docs needs doc_id and text."""
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_docs: int = 1 << 20, least_batches: int = 4, fanout: int = 4, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+    """docs, which needs doc_id and text, with their repeated lines dropped, and the numbers of lines and of dropped lines
+    besides, in columns of the given names: by default _n_lines and _n_dropped, with underscores more where docs has these."""
     work = Work(docs.sparkSession, "lines")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     low, high, n = slim.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -134,8 +135,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_d
     drops = work.save(runs.merged().where(F.col("n") >= min_docs), "drops")
     lines = hashed.select(F.explode("hashes").alias("hash"), "doc_id")
     total = hashed.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    gone = join_hot(lines, drops, "hash", "n", total).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("hash").alias("_gone"))
+    own = free(docs, n_lines or "_n_lines", n_dropped or "_n_dropped", "_doc", "_gone")
+    n_lines, n_dropped, doc, gone = n_lines or own[0], n_dropped or own[1], own[2], own[3]
+    hashes = join_hot(lines, drops, "hash", "n", total).where("doc_id <> keeper").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("hash").alias(gone))
     schema = docs.schema
-    out = T.StructType([*schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(_kept(schema, min_chars), out)
+    out = T.StructType([*schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
+    joined = docs.join(hashes, F.col("doc_id") == F.col(doc), "left").drop(doc)
+    return joined.mapInArrow(_kept(schema.names, gone, [n_lines, n_dropped], min_chars), out)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Work, join_hot, slices, utf8
+from .common import LOWER, Work, free, join_hot, slices, utf8
 from .components import components
 
 _BITS = 64
@@ -213,9 +213,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, group_ro
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, group_rows: int = 1 << 21) -> DataFrame:
     """docs with one document of each group, one with the smallest id; rows without an id stay."""
+    id_, mark, rows = free(docs, "_kept", "_mark", "_rows")
     found = _found(docs, words, distance, group_rows).where("doc_id = component_id")
-    kept = Work(docs.sparkSession, "kept").save(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.min("mark").alias("_mark"), F.count("*").alias("_rows")), "kept")
-    own = docs.join(kept.select("_kept", "_mark"), (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_mark")), "left_semi")
-    if not kept.where("_rows > 1").isEmpty():  # rows that repeat an id and its text
+    kept = Work(docs.sparkSession, "kept").save(found.groupBy(F.col("doc_id").alias(id_)).agg(F.min("mark").alias(mark), F.count("*").alias(rows)), "kept")
+    own = docs.join(kept.select(id_, mark), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(mark)), "left_semi")
+    if not kept.where(F.col(rows) > 1).isEmpty():  # rows that repeat an id and its text
         own = own.dropDuplicates(["doc_id"])
     return docs.where("doc_id is null").unionByName(own)

@@ -506,3 +506,82 @@ def test_lower_bound(seed):
     own = Counter(sizes)
     bound = completion.lower_bound(np.array(sorted(own)), np.array([own[s] for s in sorted(own)]), 100)
     assert -(-sum(sizes) // 100) <= bound <= smallest(sorted(sizes, reverse=True), 100)
+
+
+# -- language ID, held against dictionaries
+
+
+def grams_by_hand(text, sizes=(1, 2, 3)):
+    kept = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text} ")
+    kept = re.sub(" +", " ", kept)
+    return [kept[i : i + n] for n in sizes for i in range(len(kept) - n + 1)] if text else []
+
+
+def bucket_of(gram, buckets):
+    return int(langid.grams(np.array([ord(c) for c in gram], np.uint32), (len(gram),), buckets)[0])
+
+
+def posterior_by_hand(rows, text, buckets, smoothing=0.5, evidence=200):
+    """Multinomial naive Bayes with a dictionary of buckets for each language."""
+    labelled = [(t, lang) for _, t, lang, *_ in rows if t is not None and lang is not None]
+    own = [bucket_of(g, buckets) for g in grams_by_hand(text)]
+    likely = {}
+    for lang in sorted({x for _, x in labelled}):
+        counts = Counter(bucket_of(g, buckets) for t, x in labelled if x == lang for g in grams_by_hand(t))
+        total = sum(counts.values()) + smoothing * buckets
+        mean = sum(np.log((counts[b] + smoothing) / total) for b in own) / len(own)
+        likely[lang] = mean * min(len(own), evidence) + np.log(sum(x == lang for _, x in labelled) / len(labelled))
+    most = max(likely.values())
+    weight = {k: np.exp(v - most) for k, v in likely.items()}
+    best = max(sorted(weight), key=weight.get)
+    return best, weight[best] / sum(weight.values())
+
+
+def test_language_id_equals_dictionaries(spark):
+    rng = random.Random(8)
+    words = {"a": ["the", "house", "is", "old", "near"], "b": ["das", "Haus", "ist", "älter", "groß"], "c": ["la", "casa", "está", "más", "vieja"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 40))) + rng.choice(["", "!", " 12", "\n"]), lang) for i, lang in enumerate("abc" * 8)]
+    rows += [(50, None, "a"), (51, "unlabelled words", None), (52, "", "b"), (53, "x", "c"), (54, "İſtanbul ǅ 中文 مرحبا", "a"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, buckets=1 << 9)
+    asked = [*rows, (60, "haus house casa", None), (61, "the " * 500, None), (62, "?! 7", None), (63, "e", None)]
+    got = {r.doc_id: (r._lang, r._score) for r in langid.predict(spark.createDataFrame(asked, docs.schema), model).collect()}
+    for key, text, _ in asked:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[key] == ("und", 0.0)
+            continue
+        lang, score = posterior_by_hand(rows, text, 1 << 9)
+        assert got[key][0] == lang and got[key][1] == pytest.approx(score, rel=1e-4), text
+
+
+@pytest.mark.parametrize("slice_", [1, 2, 3, 7, 50])
+def test_long_texts_are_counted_in_slices(slice_):
+    rng = random.Random(slice_)
+    for text in ("", " ", "a", "..", "ab, cd", "".join(rng.choice("aÉ  .ß中9\n") for _ in range(200)), " x" * 40, "y  " * 40):
+        want = Counter(bucket_of(g, 1 << 12) for g in grams_by_hand(text))
+        found, n, letters = langid.counted(text, (1, 2, 3), 1 << 12, slice_)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want and letters == any(c.isalpha() for c in text)
+
+
+# -- columns that are there already
+
+CLASHING = ["_lang", "_score", "_doc", "_gone", "_n_lines", "_n_dropped", "_kept", "_mark", "_rows", "_leaked", "_text", "_hot", "code", "mark", "hash", "hashes", "batch", "block", "n", "keeper", "segment", "place", "spans", "part", "rank", "length", "bucket", "kind", "Words"]
+
+
+def test_operators_with_clashing_columns(spark, docs, rows):
+    odd = docs
+    for name in CLASHING:
+        odd = odd.drop(name).withColumn(name, F.lit(7))
+    n = len(rows)
+    found = langid.predict(odd, langid.train(odd))
+    assert found.columns == [*odd.columns, "_lang_", "_score_"] and found.count() == n
+    lines = linededup.dedup_lines(odd)
+    assert lines.columns == [*odd.columns, "_n_lines_", "_n_dropped_"]
+    assert listed(lines, "doc_id", "text", "_n_lines_", "_n_dropped_") == lines_by_hand(rows) and lines.where("_gone <> 7 or hash <> 7").count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == simhash.keep_one(docs).count()
+    assert listed(simhash.near_duplicates(odd), "doc_id", "code", "component_id") == listed(simhash.near_duplicates(docs), "doc_id", "code", "component_id")
+    items = spark.createDataFrame([(1, rows[-1][1], 5, 5)], "item_id long, text string, mark int, words int")
+    assert listed(decontaminate.phrase_matches(decontaminate.build_index(odd), items), "doc_id", "n_words") == Counter((d, len(WORD.findall(lower(t).encode()))) for d, t, *_ in rows)
+    assert lm.score(odd).count() == substring.dedup_substrings(odd).count() == n
+    assert packing.pack_documents(odd, tokenizer_path()).count() == packing.pack_documents(docs, tokenizer_path()).count()
