@@ -6,7 +6,8 @@
 4. benchmark decontamination: documents with a benchmark window of ten words go;
 5. best-fit packing: the rest as pieces of token sequences.
 
-Null texts go in the first stage. Documents without a doc_id keep all lines, are no one's copy and stay in stage 4.
+Null texts go in the first stage. Documents without a doc_id keep all lines and are no one's copy. Other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlog.llm import decontaminate, langid, linededup, packing, simhash
-from evlog.llm.common import Work
+from evlog.llm.common import Work, free
 from evlog.llm.queries import tokenizer_path
 
 #: No language counts as found below this posterior.
@@ -26,12 +27,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs.where(~langid.held_out()))
     if not model.languages:  # nothing to learn from: only the lack of any letter can be told
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs, model).where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    lang, score = free(docs, "_lang", "_score")
+    return langid.predict(docs, model, lang, score).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    lines, dropped = free(docs, "_n_lines", "_n_dropped")
+    kept = linededup.dedup_lines(docs, n_lines=lines, n_dropped=dropped)
+    return kept.withColumn("n_chars", F.when(F.col(dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +42,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    index = decontaminate.build_index(docs)
+    """By id and text, so that rows that share an id, or have none, are each judged by what they say."""
+    leaked_id, leaked_text, mark = free(docs, "_leaked", "_leaked_text", "_text")
+    index = decontaminate.build_index(docs, mark=F.md5("text"))
     found = decontaminate.phrase_matches(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    leaked = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(leaked_id), F.col("mark").alias(leaked_text)).distinct()
+    marked = docs.withColumn(mark, F.md5("text"))
+    return marked.join(leaked, F.col("doc_id").eqNullSafe(F.col(leaked_id)) & (F.col(mark) == F.col(leaked_text)), "left_anti").drop(mark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
