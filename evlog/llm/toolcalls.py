@@ -4,14 +4,17 @@ Events are calls and results. They come from markup in messages, `<tool_call>{"i
 </tool_call>` and `<tool_result>{"id":…,"content":…}</tool_result>`, and from plain turns, where a user or system turn is a
 call (of `reply` or `instruct`, with the text as its argument, after the conversation's first turn) and an assistant turn is
 the result of the turn before it. Identifiers hold within a conversation. Calls and results meet in a hash join on the
-identifier, one row on each side. A call depends on the calls it names in `after`; levels are found by rounds over the
-whole table (a round resolves every call all of whose dependencies are resolved), so that (level, turn, place) orders each
-conversation topologically without any conversation in one task.
+identifier, one row on each side. A call depends on the calls it names in `after`, and (level, turn, place) orders each
+conversation topologically. Conversations of up to `task_edges` dependencies are ordered within a task, many conversations
+a task. Those of more, a bounded number for their size, are ordered by rounds: a round takes the dependencies on the calls
+that the round before resolved, and resolves the calls that wait for nothing more, so no conversation has to fit a task and
+a round handles its own dependencies only.
 
 Defined results: of calls that repeat an identifier the first by (turn, place) is linked and the others are `duplicate`; of
 results the first is linked and the others counted in n_results; a result without a call is a row of status `orphan`; a
 call without a result is `unanswered`; calls on or behind a cycle have status `cycle` and no level; dependencies on unknown
-identifiers are errors and don't hold a call back. Markup that isn't JSON, or lacks an id, is a row of status `malformed`.
+identifiers are errors and don't hold a call back. Markup that isn't JSON, lacks an id, nests deeper than 200 levels, or holds
+what canonical JSON can't (a lone surrogate, a number beyond a double) is a row of status `malformed`.
 Arguments of a tool without a schema are errors. Null conversations are one conversation; a null turn sorts first; a null
 text has no events. Exactly repeated message rows count once. An empty table gives no rows. Other columns are ignored.
 """
@@ -108,6 +111,24 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+_DEEPEST = 200
+
+
+def _checked(value, depth: int = 0) -> None:
+    """Refuses what can't be written as canonical JSON and read again."""
+    if depth > _DEEPEST:
+        raise ValueError("nested too deeply")
+    if isinstance(value, dict):
+        for k, v in value.items():
+            _checked(k, depth)
+            _checked(v, depth + 1)
+    elif isinstance(value, list):
+        for v in value:
+            _checked(v, depth + 1)
+    elif isinstance(value, str):
+        value.encode()
+
+
 def _marked(batches):
     for rows in batches:
         out = []
@@ -115,9 +136,10 @@ def _marked(batches):
             for place, (kind, body) in enumerate(_MARKUP.findall(text or "") if text and "<tool_" in text else []):
                 try:
                     own = json.loads(body)
+                    _checked(own)
                     name, after = own.get("name"), [str(x) for x in own.get("after") or []]
                     out.append((kind, conv, turn, place, str(own["id"]), None if name is None else str(name), canonical(own.get("arguments" if kind == "call" else "content")), after))
-                except (ValueError, KeyError, AttributeError, TypeError):
+                except (ValueError, KeyError, AttributeError, TypeError, OverflowError, RecursionError):  # UnicodeError is a ValueError
                     out.append(("malformed", conv, turn, place, None, None, body, []))
         yield pa.RecordBatch.from_pylist([dict(zip(_EVENT.names, x, strict=True)) for x in out], schema=_EVENT)
 
@@ -135,28 +157,77 @@ def turn_events(messages: DataFrame) -> DataFrame:
     named = lambda turn: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), turn.cast("string"))
     body = F.when(call, F.concat(F.lit("{"), F.expr("""substring(to_json(struct(text)), 2)"""))).otherwise(F.expr("""regexp_extract(to_json(struct(text)), '^\\\\{"text":([\\\\s\\\\S]*)\\\\}$', 1)"""))
     return rows.where("role in ('user', 'system', 'assistant')").select(
-        F.when(call, F.lit("call")).otherwise("result").alias("kind"), "conv_id", "turn", F.lit(-1).alias("place"), named(F.when(call, F.col("turn")).otherwise(F.col("turn") - 1)).alias("id"),
+        F.when(call, F.lit("call")).otherwise("result").alias("kind"), "conv_id", "turn", F.lit(-1).alias("place"), named(F.when(call, F.col("turn")).otherwise(F.try_subtract("turn", F.lit(1)))).alias("id"),
         F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "instruct").alias("name"), body.alias("body"),
         F.when(call & (F.col("turn") > 0), F.array(named(F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("after"),
     )
 
 
-def _levels(work: Work, calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(k, level) of all calls that no cycle holds back. edges: (k, dep), both calls."""
-    edges = work.save(edges.join(edges.groupBy("k").agg(F.count("*").alias("deg")), "k"), "edges")
+def _ordered(batches):
+    """(k, level) of the calls of whole conversations, which come one after another: (conv, k, dep) sorted by conv."""
+
+    def levels(edges):
+        waits, behind, out = {}, {}, {}
+        for k, dep in edges:
+            waits[k] = waits.get(k, 0) + 1
+            behind.setdefault(dep, []).append(k)
+        ready = [dep for dep in behind if dep not in waits]
+        while ready:
+            done = ready.pop()
+            for k in behind.get(done, ()):
+                out[k] = max(out.get(k, 0), out.get(done, 0) + 1)
+                waits[k] -= 1
+                if not waits[k]:
+                    ready.append(k)
+        found = [k for k in out if not waits[k]]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([out[k] for k in found], pa.int32())], ["k", "level"])
+
+    held, last = [], ()
+    for rows in batches:
+        for conv, k, dep in zip(*(rows.column(c).to_pylist() for c in ("conv", "k", "dep")), strict=True):
+            if (conv,) != last and len(held) > 50_000:
+                yield levels(held)
+                held = []
+            last = (conv,)
+            held.append((k, dep))
+    if held:
+        yield levels(held)
+
+
+def _by_rounds(work: Work, edges: DataFrame) -> DataFrame | None:
+    """(k, level) of the calls with dependencies in large conversations, round by round. edges: (k, dep)."""
     total = edges.count()
+    if not total:
+        return None
     wanted = work.save(edges.groupBy("dep").agg(F.count("*").alias("n")), "wanted")
-    done = work.save(calls.join(edges.select("k").distinct(), "k", "left_anti").select("k", F.lit(0).alias("level")), "level-0")
-    number = 0
-    while total:
+    # what each call waits for; the first to be resolved are the calls that wait for nothing
+    state = work.save(edges.groupBy("k").agg(F.count("*").alias("waits")).withColumn("level", F.lit(0)), "state-0")
+    front = work.save(wanted.join(state, wanted["dep"] == state["k"], "left_anti").select("dep", F.lit(0).alias("at"), "n"), "front-0")
+    names, number = [], 0
+    while not front.isEmpty():
         number += 1
-        known = done.select(F.col("k").alias("dep"), "level").join(wanted, "dep")
-        ready = join_hot(edges.join(done.select("k"), "k", "left_anti") if number > 1 else edges, known, "dep", "n", total)
-        new = work.save(ready.groupBy("k").agg(F.count("*").alias("c"), F.max("deg").alias("deg"), F.max("level").alias("level")).where("c = deg").select("k", (F.col("level") + 1).alias("level")), f"level-{number}")
-        if new.isEmpty():
-            break
-        done = done.unionByName(new)
-    return done
+        met = join_hot(edges, front, "dep", "n", total).groupBy("k").agg(F.count("*").alias("met"), (F.max("at") + 1).alias("reached"))
+        moved = state.join(met, "k", "left").select("k", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.greatest("level", F.coalesce("reached", F.lit(0))).alias("level"))
+        state = work.save(moved, f"moved-{number}")
+        names.append(f"{work.path}/resolved-{number}")
+        new = work.save(state.where("waits = 0").select("k", "level"), f"resolved-{number}")
+        state = work.save(state.where("waits > 0"), f"state-{number}")
+        front = work.save(new.join(wanted, new["k"] == wanted["dep"]).select("dep", F.col("level").alias("at"), "n"), f"front-{number}")
+        for old in (f"state-{number - 1}", f"front-{number - 1}", f"moved-{number}"):
+            work.drop(old)
+    return work.spark.read.schema("k string, level int").parquet(*names) if names else None
+
+
+def _levels(work: Work, calls: DataFrame, edges: DataFrame, task_edges: int) -> DataFrame:
+    """(k, level) of all calls that no cycle holds back. edges: (conv, k, dep), both calls."""
+    sizes = edges.groupBy("conv").agg(F.count("*").alias("n"))
+    large = F.broadcast(work.save(sizes.where(F.col("n") > task_edges).select(F.col("conv").alias("big")), "large"))  # edges / task_edges rows at most
+    within = edges.join(large, F.col("conv").eqNullSafe(F.col("big")), "left_anti")
+    found = work.save(within.repartition("conv").sortWithinPartitions("conv").mapInArrow(_ordered, "k string, level int"), "levels")
+    rounds = _by_rounds(work, work.save(edges.join(large, F.col("conv").eqNullSafe(F.col("big")), "left_semi").select("k", "dep"), "large-edges"))
+    free_calls = calls.join(edges.select("k").distinct(), "k", "left_anti").select("k", F.lit(0).alias("level"))
+    out = free_calls.unionByName(found)
+    return out if rounds is None else out.unionByName(rounds)
 
 
 def _rendered(schemas: dict):
@@ -182,7 +253,7 @@ def _rendered(schemas: dict):
 _LINKED = "conv_id long, turn long, place int, call_id string, name string, level int, status string, result_turn long, n_results long, valid boolean, errors array<string>, json string"
 
 
-def link(events: DataFrame, schemas: dict) -> DataFrame:
+def link(events: DataFrame, schemas: dict, task_edges: int = 5_000) -> DataFrame:
     """A row for each call, and for each orphan result and malformed event (with neither level nor JSON)."""
     work = Work(events.sparkSession, "calls")
     key = F.concat_ws("\0", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "id")
@@ -194,11 +265,11 @@ def link(events: DataFrame, schemas: dict) -> DataFrame:
     calls = work.save(own.withColumn("duplicate", F.col("at") != F.col("first")).drop("at", "first", "n"), "calls")
     linked = calls.where("not duplicate")
     answers = work.save(events.where("kind = 'result'").groupBy("k").agg(F.min(F.struct(at.alias("at"), "conv_id", "turn", "place", "id", "body")).alias("r"), F.count("*").alias("n_results")), "answers")
-    wanted = linked.select("k", "conv_id", F.explode(F.array_distinct("after")).alias("dep_id")).withColumn("dep", F.concat_ws("\0", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "dep_id"))
+    wanted = linked.select("k", F.col("conv_id").alias("conv"), F.explode(F.array_distinct("after")).alias("dep_id")).withColumn("dep", F.concat_ws("\0", F.coalesce(F.col("conv").cast("string"), F.lit("")), "dep_id"))
     sought = work.save(wanted.groupBy("dep").agg(F.count("*").alias("n")).join(linked.select(F.col("k").alias("dep"), F.lit(True).alias("there")), "dep", "left"), "sought")
-    edges = work.save(join_hot(wanted, sought, "dep", "n", events.count()).select("k", "dep", "dep_id", "there"), "all-edges")
+    edges = work.save(join_hot(wanted, sought, "dep", "n", events.count()).select("conv", "k", "dep", "dep_id", "there"), "all-edges")
     unknown = edges.where("there is null").groupBy("k").agg(F.array_sort(F.collect_list("dep_id")).alias("unknown"))
-    levels = _levels(work, linked, edges.where("there").select("k", "dep"))
+    levels = _levels(work, linked, edges.where("there").select("conv", "k", "dep"), task_edges)
     joined = linked.join(levels, "k", "left").join(answers, "k", "left").join(unknown, "k", "left")
     status = F.when(F.col("level").isNull(), "cycle").when(F.col("n_results").isNull(), "unanswered").otherwise("answered")
     shown = joined.select("conv_id", "turn", "place", F.col("id").alias("call_id"), "name", "level", status.alias("status"), F.col("r.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0)).alias("n_results"), "body", F.col("r.body").alias("result"), "unknown")

@@ -119,6 +119,42 @@ def test_tool_calls(spark):
     assert found[2, 0, 2].valid
 
 
+@pytest.mark.parametrize("odd", ['"\\ud800"', '{"\\udfff": 1}', "[" * 200_000 + "]" * 200_000, "[" * 201 + "]" * 201, "1" + "0" * 400, "1" * 5000, "1e999", "NaN", "-Infinity", '{"a":', "\u0000"])
+def test_odd_markup_is_malformed(spark, odd):
+    rows = [(1, 0, CALL % ("p", odd, "[]")), (1, 1, CALL % ("q", '{"a": 1}', "[]") + RESULT % ("q", odd))]
+    found = {(r.turn, r.place): (r.call_id, r.status) for r in toolcalls.link(toolcalls.marked_events(spark.createDataFrame(rows, "conv_id long, turn long, text string")), SCHEMAS).collect()}
+    assert found == {(0, 0): (None, "malformed"), (1, 0): ("q", "unanswered"), (1, 1): (None, "malformed")}
+
+
+def test_odd_ids_are_malformed(spark):
+    rows = [(1, 0, '<tool_call>{"id": "\\ud800", "name": "add"}</tool_call><tool_call>{"id": "a", "name": "\\ud800"}</tool_call><tool_call>{"id": "b", "name": "add", "after": ["\\ud800"]}</tool_call><tool_call>[1]</tool_call>'), (-(2**63), -(2**63), "")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("assistant"))
+    found = toolcalls.link(toolcalls.marked_events(messages).unionByName(toolcalls.turn_events(messages)), SCHEMAS).groupBy("status").count().collect()
+    assert {tuple(r) for r in found} == {("malformed", 4), ("orphan", 2)}
+
+
+def levels_by_hand(calls):
+    """calls: {id: ids it waits for}, ids that are not there don't count."""
+    out = {}
+    while True:
+        new = {k: max([out[d] + 1 for d in deps if d in calls], default=0) for k, deps in calls.items() if k not in out and all(d in out for d in deps if d in calls)}
+        if not new:
+            return out
+        out |= new
+
+
+@pytest.mark.parametrize("task_edges", [5_000, 3])
+def test_levels_within_tasks_and_by_rounds(spark, task_edges):
+    rng, rows, want = random.Random(2), [], {}
+    for conv in [*range(12), None]:
+        names = [f"c{i}" for i in range(rng.randint(1, 9))]
+        calls = {n: rng.sample([*names, "gone"], rng.randint(0, min(2, len(names)))) if conv != 4 else names[i - 1 : i] for i, n in enumerate(names)}
+        rows += [(conv, i, CALL % (n, '{"a": 1}', json.dumps(deps))) for i, (n, deps) in enumerate(calls.items())]
+        want |= {(conv, n): levels_by_hand(calls).get(n) for n in names}
+    found = toolcalls.link(toolcalls.marked_events(spark.createDataFrame(rows, "conv_id long, turn long, text string")), SCHEMAS, task_edges)
+    assert {(r.conv_id, r.call_id): r.level for r in found.collect()} == want and None in want.values()
+
+
 def test_tool_calls_of_nothing(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert toolcalls.link(toolcalls.marked_events(none).unionByName(toolcalls.turn_events(none)), {}).count() == 0
