@@ -1,7 +1,8 @@
 """A sharded WARC writer whose files are the same at every run, and a reader that checks them.
 
-Records are ordered by an integer key and cut into shards by bytes, at bounds that come from exact byte counts and so do
-not depend on how Spark deals the rows. One task writes a shard: it rolls to a new file once a file's compressed size has
+Records are ordered by an integer key and then by payload digest, and cut into shards by bytes, at bounds that come from
+exact byte counts and so do not depend on how Spark deals the rows; a key with more than a shard's bytes is cut by digest.
+A partition is a shard, by its number, and one task writes it: it rolls to a new file once a file's compressed size has
 reached file_bytes, makes every header and digest anew, writes under a temporary name and renames the finished file. The
 manifest, renamed into place last, is the commit; readers see only the files that it names, with their sizes and digests.
 A task that runs again, or twice at once, renames the same bytes to the same name.
@@ -104,69 +105,118 @@ class _Shard:
         return self.done
 
 
-def _dealt(bounds: np.ndarray):
-    """Adds each row's shard: the place of its key among the shards' first keys."""
+#: Records without a key have this place in the order.
+_FIRST = -(2**63)
+#: A digest's place in the order, from its first hexadecimal digits.
+_CUT_DIGITS = 15
+
+
+def _cut() -> F.Column:
+    return F.conv(F.substring("digest", 1, _CUT_DIGITS), 16, 10).cast("long")
+
+
+class Bounds:
+    """The shards' first records, by key and cut; the first shard begins before all."""
+
+    def __init__(self, firsts: list[tuple[int, int]]):
+        self.keys, self.cuts = (np.array([f[k] for f in firsts], np.int64) for k in (0, 1))
+        self.crowded = np.unique(self.keys[self.cuts > 0])
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def shard(self, keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.keys, keys, "right") - 1
+        inside = np.flatnonzero(np.isin(keys, self.crowded)) if len(self.crowded) else ()
+        for i in inside:
+            a, b = np.searchsorted(self.keys, keys[i], "left"), np.searchsorted(self.keys, keys[i], "right")
+            out[i] = a + np.searchsorted(self.cuts[a:b], cuts[i], "right") - 1
+        return np.maximum(out, 0)
+
+
+def _dealt(bounds: Bounds):
+    """Adds each row's shard."""
 
     def run(batches):
         for rows in batches:
-            keys = np.asarray(rows.column("key").fill_null(-(2**63)), np.int64)
-            shard = np.maximum(np.searchsorted(bounds, keys, "right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *rows.columns], ["shard", *rows.schema.names])
+            keys, cuts = (np.asarray(rows.column(c).fill_null(0 if c == "cut" else _FIRST), np.int64) for c in ("key", "cut"))
+            yield pa.RecordBatch.from_arrays([pa.array(bounds.shard(keys, cuts), pa.int32()), *rows.columns], ["shard", *rows.schema.names])
 
     return run
 
 
 def _written(path: str, file_bytes: int, level: int, min_bytes: int, date: str):
+    """Writes shards, whose rows come in order: of a key and digest first the mark, if there is one, then the records."""
+
     def run(batches):
-        shard, key, marks, seen = None, (), {}, {}
+        shard, group, keeper, nth = None, None, None, 0
         for rows in batches:
             columns = [rows.column(c).to_pylist() for c in ("shard", "key", "kind", "digest", "keeper", "url")]
             payloads = rows.column("payload").cast(pa.binary())
-            for i, (to, k, kind, digest, keeper, url) in enumerate(zip(*columns, strict=True)):
+            for i, (to, k, kind, digest, refers, url) in enumerate(zip(*columns, strict=True)):
                 if shard is None or shard.shard != to:
                     if shard is not None:
                         yield batch(_MANIFEST, *zip(*shard.finish(), strict=True))
-                    shard, key = _Shard(path, to, file_bytes, level), ()
-                if key != (k,):
-                    key, marks, seen = (k,), {}, {}
+                    shard, group = _Shard(path, to, file_bytes, level), None
+                if group != (k, digest):
+                    group, keeper, nth = (k, digest), None, 0
                 if kind == 0:
-                    marks[digest] = keeper
+                    keeper = refers
                     continue
                 payload = payloads[i].as_py() or b""
-                nth = seen.get(digest, 0)
-                seen[digest] = nth + 1
-                refers_to = marks.get(digest, k if nth and len(payload) >= min_bytes else None)
+                refers_to = keeper if keeper is not None else k if nth and len(payload) >= min_bytes else None
                 shard.add(k, record(k, url, payload, refers_to, refers_to is not None, nth, date))
+                nth += 1
         if shard is not None:
             yield batch(_MANIFEST, *zip(*shard.finish(), strict=True))
 
     return run
 
 
-def _bounds(slim: DataFrame, shard_bytes: int, cells: int = 4096) -> np.ndarray:
-    """The first keys of the shards: byte counts in even cells of keys, cells of over a shard's bytes cut again, then cells put
-    together in order. What comes to the driver are counts by cell, a small multiple of the number of shards."""
+def _cells(marks: list[int]):
+    """Adds the number of the cell of each row's key, among cells that begin at the marks."""
+    begins = np.array(marks, np.int64)
+
+    def run(batches):
+        for rows in batches:
+            cell = np.maximum(np.searchsorted(begins, np.asarray(rows.column("key"), np.int64), "right") - 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *rows.columns], ["cell", *rows.schema.names])
+
+    return run
+
+
+def _bounds(slim: DataFrame, shard_bytes: int, cells: int = 4096) -> Bounds:
+    """The first records of the shards: byte counts in even cells of keys, cells of over a shard's bytes cut again, keys of over
+    a shard's bytes cut by digest, then all put together in order. What comes to the driver are counts by cell, a small
+    multiple of the number of shards."""
+    slim = slim.withColumn("key", F.coalesce("key", F.lit(_FIRST)))
     low, high = slim.agg(F.min("key"), F.max("key")).first()
-    pieces, todo = {}, [] if low is None else [(low, high)]
+    pieces, crowded, todo = {}, [], [] if low is None else [(low, high)]
     while todo:
         starts = {m for a, b in todo for m in range(a, b + 1, max(1, -(-(b - a + 1) // cells)))}
         marks = sorted(starts | {b + 1 for _, b in todo if b < 2**63 - 1})
         inside = slim.where(F.col("key").between(marks[0], todo[-1][1])).select("key", "bytes")
-        counted = inside.mapInArrow(_dealt(np.array(marks, np.int64)), "shard long, key long, bytes long").groupBy("shard").agg(F.sum(F.col("bytes") + _OVERHEAD).alias("size"), F.min("key").alias("least"), F.max("key").alias("most"))
+        counted = inside.mapInArrow(_cells(marks), "cell long, key long, bytes long").groupBy("cell").agg(F.sum(F.col("bytes") + _OVERHEAD).alias("size"), F.min("key").alias("least"), F.max("key").alias("most"))
         todo, cells = [], 64
-        for piece in sorted(counted.collect(), key=lambda r: r.shard):
-            if marks[piece.shard] in starts:
-                if piece["size"] > shard_bytes and piece.most > piece.least:
+        for piece in sorted(counted.collect(), key=lambda r: r.cell):
+            if marks[piece.cell] in starts:
+                if piece["size"] <= shard_bytes:
+                    pieces[piece.least, 0] = piece["size"]
+                elif piece.most > piece.least:
                     todo.append((piece.least, piece.most))
                 else:
-                    pieces[piece.least] = piece["size"]
-    out, held = [-(2**63)], 0
+                    crowded.append((piece.least, 1 + (1 << 4 * _CUT_DIGITS) // (4 * -(-piece["size"] // shard_bytes))))
+    if crowded:  # total bytes / shard_bytes keys at most
+        widths = slim.sparkSession.createDataFrame(crowded, "key long, width long")
+        parts = slim.join(F.broadcast(widths), "key").groupBy("key", (_cut() - _cut() % F.col("width")).alias("cut")).agg(F.sum(F.col("bytes") + _OVERHEAD).alias("size"))
+        pieces |= {(r.key, r["cut"]): r["size"] for r in parts.collect()}
+    out, held = [(_FIRST, 0)], 0
     for start in sorted(pieces):
         if held and held + pieces[start] > shard_bytes:
             out.append(start)
             held = 0
         held += pieces[start]
-    return np.array(out, np.int64)
+    return Bounds(out)
 
 
 def write(records: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str | None = "url", shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, min_bytes: int = 0, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> str:
@@ -181,16 +231,16 @@ def write(records: DataFrame, path: str, key: str = "page_id", payload: str = "h
     copies = work.save(long.groupBy("digest").agg(F.max("key").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null"), "copies")
     marks = join_hot(long, copies, "digest", "n", slim.count()).where("not key <=> keeper").select("key", "digest", "keeper").distinct()
     rows = given.withColumn("digest", F.sha1(text.cast("binary"))).select("key", F.lit(1).alias("kind"), "digest", F.lit(None).cast("long").alias("keeper"), "url", "payload")
-    both = rows.unionByName(marks.select("key", F.lit(0).alias("kind"), "digest", "keeper", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload")))
-    ddl = "shard long, key long, kind int, digest string, keeper long, url string, payload string"
-    dealt = both.mapInArrow(_dealt(bounds), ddl).repartition(len(bounds), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "kind", "digest", "url")
-    files = dealt.mapInArrow(_written(path, file_bytes, level, min_bytes, date), _MANIFEST_DDL)
+    both = rows.unionByName(marks.select("key", F.lit(0).alias("kind"), "digest", "keeper", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))).withColumn("cut", _cut())
+    ddl = "shard int, key long, kind int, digest string, keeper long, url string, payload string, cut long"
+    dealt = both.mapInArrow(_dealt(bounds), ddl).drop("cut").repartitionById(len(bounds), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "kind", "url")
+    files = work.save(dealt.mapInArrow(_written(path, file_bytes, level, min_bytes, date), _MANIFEST_DDL), "files")
     system, where = filesystem(path)
     system.create_dir(where, recursive=True)
-    lines = sorted(work.save(files, "files").toLocalIterator(), key=lambda r: r.name)  # a row a file
     temporary, manifest = f"{where}/_temporary-manifest-{uuid.uuid4().hex}", f"{where}/manifest.json"
     with system.open_output_stream(temporary, compression=None) as out:
-        out.write("".join(json.dumps(r.asDict(), sort_keys=True) + "\n" for r in lines).encode())
+        for row in files.orderBy("name").toLocalIterator():  # a row a file, never all at once
+            out.write((json.dumps(row.asDict(), sort_keys=True) + "\n").encode())
     system.move(temporary, manifest)
     work.close()
     if system.get_file_info(f"{where}/_temporary").type == fs.FileType.Directory:
@@ -259,5 +309,5 @@ def _read(path: str, payloads: bool, most: int = 16 << 20):
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the files that the manifest below path names."""
     files = spark.read.schema(_MANIFEST_DDL).json(f"{path}/manifest.json")
-    n = max(1, files.count())
-    return files.repartition(n, "name").mapInArrow(_read(path, payloads), _RECORD_DDL)
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return files.repartition(max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), size >> 26)).mapInArrow(_read(path, payloads), _RECORD_DDL)

@@ -86,12 +86,26 @@ def test_warc_of_nothing(spark, tmp_path):
 
 
 def test_shard_bounds_with_crowded_keys(spark):
-    slim = spark.createDataFrame([(k, 1000) for k in [*range(1000), 10**15, -(10**15)]], "key long, bytes long")
+    slim = spark.createDataFrame([(k, f"{k:040x}", 1000) for k in [*range(1000), 10**15, -(10**15)]], "key long, digest string, bytes long")
     bounds = warc._bounds(slim, 50_000)
-    counts = np.bincount(np.searchsorted(bounds, np.arange(1000), "right"))
+    counts = np.bincount(bounds.shard(np.arange(1000), np.zeros(1000, np.int64)))
     assert counts.max() * 1512 <= 50_000
 
 
+def test_a_key_with_more_than_a_shard_is_cut_by_digest(spark, tmp_path):
+    """A third of the records have no key, a third share one."""
+    sha = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(None, sha(i), 1000) for i in range(400)] + [(7, sha(-i), 1000) for i in range(400)] + [(i, sha(i), 1000) for i in range(8, 408)]
+    bounds = warc._bounds(spark.createDataFrame(rows, "key long, digest string, bytes long"), 50_000)
+    shards = bounds.shard(np.array([warc._FIRST if k is None else k for k, *_ in rows]), np.array([int(d[:15], 16) for _, d, _ in rows]))
+    order = np.lexsort(([d for _, d, _ in rows], [warc._FIRST if k is None else k for k, *_ in rows]))
+    assert (np.diff(shards[order]) >= 0).all() and np.bincount(shards).max() * 1512 <= 50_000 and len(bounds) < 60
+    pages = [(k, "u", f"{d} {i % 3}", 1, 1) for i, (k, d, _) in enumerate(rows)] + [(7, "u", "the same", 1, 1)] * 9
+    warc.write(spark.createDataFrame(pages, PAGES), str(tmp_path), shard_bytes=20_000)
+    found = warc.read(spark, str(tmp_path)).collect()
+    assert Counter((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(pages)
+
+
 # -- tool calls
 
 CALL = '<tool_call>{"id": "%s", "name": "add", "arguments": %s, "after": %s}</tool_call>'
