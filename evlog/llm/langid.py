@@ -170,7 +170,7 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), buckets: int
 def _predicted(model, names: list[str]):
     def run(batches):
         for rows in batches:
-            for part in slices(rows, "text", 4 << 20):
+            for part in slices(rows, "text", 1 << 20):
                 found, scores = model.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names)
 

@@ -2,9 +2,13 @@
 
 Documents come in batches by falling id. A batch's eligible lines are counted by hash and merge-anti-joined with the runs:
 hashes that no run holds enter the batch's own run with the batch's largest document as their keeper, hashes that some run
-holds enter with their count only, since an earlier batch has their keeper. Every run is sorted by hash. When a level holds
-`fanout` runs they are merged into one of the next level. Lines found in `min_docs` documents or more stay in their keeper,
-the largest id, alone.
+holds enter with their count only, since an earlier batch has their keeper. Every run is a table bucketed and sorted by hash,
+all with the same number of buckets, so runs are joined and merged bucket by bucket, as they lie: only a batch's own lines
+are shuffled, once. When a level holds `fanout` runs they are merged into one of the next level. Lines found in `min_docs`
+documents or more stay in their keeper, the largest id, alone.
+
+There are `batch_docs` documents a batch, or more where that would make over `most_batches`; batches are cut at quantiles of
+the ids, so an id far from the others doesn't matter.
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased; keys of fewer than min_chars code
 points are never dropped. Keys are compared by their 128-bit XXH3 hash.
@@ -16,7 +20,9 @@ empty table stays empty. All other columns pass through.
 
 from __future__ import annotations
 
-import math
+import uuid
+from bisect import bisect_left
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -37,8 +43,8 @@ def line_hash(line: str, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode().translate(LOWER)) if len(key) >= min_chars else None
 
 
-def _hashed(low: int, high: int, batches: int, min_chars: int):
-    """For each document its batch and the different hashes of its lines."""
+def _hashed(cuts: list[int], min_chars: int):
+    """For each document its batch and the different hashes of its lines. cuts: rising; the largest ids are batch 0."""
 
     def run(rows_in):
         for rows in rows_in:
@@ -48,25 +54,49 @@ def _hashed(low: int, high: int, batches: int, min_chars: int):
                     found = {h for line in (text or "").split("\n") if (h := line_hash(line, min_chars)) is not None}
                     if found:
                         ids.append(key)
-                        numbers.append((high - key) * batches // (high - low + 1))
+                        numbers.append(len(cuts) - bisect_left(cuts, key))
                         hashes.append(sorted(found))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.list_(pa.binary())), pa.array(numbers, pa.int32())], ["doc_id", "hashes", "batch"])
 
     return run
 
 
+_ORDERING = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class Runs:
-    """Levelled sorted runs (hash, n, keeper): n documents hold the line, keeper is the largest of them, in one run only."""
+    """Levelled sorted runs (hash, n, keeper): n documents hold the line, keeper is the largest of them, in one run only.
+
+    A run is written by tasks that hold a bucket each, as a file a bucket; within this block Spark reads these files as the
+    sorted partitions that they are."""
 
     def __init__(self, work: Work, fanout: int = 4):
-        self.work, self.fanout, self.levels, self.made = work, fanout, [[]], 0
+        self.work, self.fanout, self.levels, self.made, self.conf = work, fanout, [[]], 0, work.spark.conf
+        self.buckets, self.prefix = int(self.conf.get("spark.sql.shuffle.partitions")), f"line_runs_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Runs:
+        self.before = self.conf.get(_ORDERING, None)
+        self.conf.set(_ORDERING, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Removes the runs: what is wanted of them has been stored by then."""
+        self.conf.set(_ORDERING, self.before) if self.before is not None else self.conf.unset(_ORDERING)
+        for level in self.levels:
+            for name, _ in level:
+                self._drop(name)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        name = f"run-{level}-{self.made}"
+        name = f"{self.prefix}_{self.made}"
         self.made += 1
-        self.levels[level].append((name, self.work.save(rows.repartitionByRange("hash").sortWithinPartitions("hash"), name)))
+        rows.write.bucketBy(self.buckets, "hash").sortBy("hash").option("compression", "zstd").option("path", f"{self.work.path}/{name}").saveAsTable(name)
+        self.levels[level].append((name, self.work.spark.table(name)))
+
+    def _drop(self, name: str) -> None:
+        self.work.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.work.drop(name)
 
     def all(self) -> list[DataFrame]:
         return [table for level in self.levels for _, table in level]
@@ -75,27 +105,27 @@ class Runs:
         tables = self.all() if tables is None else tables
         if not tables:
             return None
-        rows = tables[0]
-        for table in tables[1:]:
-            rows = rows.unionByName(table)
-        return rows if len(tables) == 1 else rows.groupBy("hash").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+        # the filter holds for every row; with it the union takes rows, not column batches, which it would put one after another
+        # instead of bucket to bucket (Spark 4.1)
+        return reduce(DataFrame.unionByName, [t.where("n > 0") for t in tables]).groupBy("hash").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch: (hash, doc_id), each hash once for a document, all ids smaller than those of earlier batches."""
+    def new(self, lines: DataFrame) -> DataFrame:
+        """The run of a batch: (hash, doc_id), each hash once for a document, all ids smaller than those of earlier batches."""
         own = lines.groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        older = self.merged()
-        if older is not None:
-            own = self.work.save(own, f"batch-{self.made}")
-            new = own.join(older.select("hash"), "hash", "left_anti")
-            held = own.join(older.select("hash"), "hash", "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            own = new.unionByName(held)
-        self._write(own, 0)
+        held = F.lit(False)
+        for number, table in enumerate(self.all()):
+            own = own.join(table.select("hash", F.lit(True).alias(f"in_{number}")), "hash", "left")
+            held = held | F.col(f"in_{number}").isNotNull()
+        return own.select("hash", "n", F.when(~held, F.col("keeper")).alias("keeper"))
+
+    def add(self, lines: DataFrame) -> None:
+        self._write(self.new(lines), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(self.merged([table for _, table in full]), level + 1)
             for name, _ in full:
-                self.work.drop(name)
+                self._drop(name)
             level += 1
 
 
@@ -121,18 +151,19 @@ def _kept(columns: list[str], gone: str, names: list[str], min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_docs: int = 1 << 20, least_batches: int = 4, fanout: int = 4, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_docs: int = 1 << 20, least_batches: int = 4, most_batches: int = 16, fanout: int = 4, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """docs, which needs doc_id and text, with their repeated lines dropped, and the numbers of lines and of dropped lines
     besides, in columns of the given names: by default _n_lines and _n_dropped, with underscores more where docs has these."""
     work = Work(docs.sparkSession, "lines")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    low, high, n = slim.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    batches = max(least_batches, math.ceil(n / batch_docs))
-    hashed = work.save(slim.mapInArrow(_hashed(low or 0, high or 0, batches, min_chars), "doc_id long, hashes array<binary>, batch int"), "hashed", by="batch")
-    runs = Runs(work, fanout)
-    for number in range(batches):
-        runs.add(hashed.where(F.col("batch") == number).select(F.explode("hashes").alias("hash"), "doc_id"))
-    drops = work.save(runs.merged().where(F.col("n") >= min_docs), "drops")
+    batches = min(max(least_batches, -(-slim.count() // batch_docs)), max(least_batches, most_batches))
+    cuts = slim.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    hashed = work.save(slim.mapInArrow(_hashed(cuts, min_chars), "doc_id long, hashes array<binary>, batch int"), "hashed", by="batch")
+    with Runs(work, fanout) as runs:
+        for number in range(len(cuts) + 1):
+            runs.add(hashed.where(F.col("batch") == number).select(F.explode("hashes").alias("hash"), "doc_id"))
+        drops = work.save(runs.merged().where(F.col("n") >= min_docs), "drops")
     lines = hashed.select(F.explode("hashes").alias("hash"), "doc_id")
     total = hashed.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     own = free(docs, n_lines or "_n_lines", n_dropped or "_n_dropped", "_doc", "_gone")

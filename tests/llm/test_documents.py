@@ -86,15 +86,35 @@ def test_line_dedup_of_nothing(empty):
 def test_runs_are_sorted_levelled_and_compacted(spark):
     from evlog.llm.common import Work
 
-    runs = linededup.Runs(Work(spark, "runs"), fanout=2)
-    for number in range(5):
-        runs.add(spark.createDataFrame([(bytes([k]), 100 - number) for k in range(number, number + 3)], "hash binary, doc_id long"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    merged = {bytes(r.hash): (r.n, r.keeper) for r in runs.merged().collect()}
-    assert merged[bytes([2])] == (3, 100) and merged[bytes([6])] == (1, 96)
-    for table in runs.all():
-        hashes = [bytes(r.hash) for r in table.collect()]
-        assert len(set(hashes)) == len(hashes)
+    lines = lambda number, width=3: spark.createDataFrame([(bytes([k]), 100 - number) for k in range(number, number + width)], "hash binary, doc_id long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large runs
+    try:
+        with linededup.Runs(Work(spark, "runs"), fanout=2) as runs:
+            for number in range(7):
+                runs.add(lines(number))
+            assert [len(level) for level in runs.levels] == [1, 1, 1]
+            merged = {bytes(r.hash): (r.n, r.keeper) for r in runs.merged().collect()}
+            assert merged[bytes([2])] == (3, 100) and merged[bytes([6])] == (3, 96) and merged[bytes([8])] == (1, 94)
+            for table in runs.all():
+                hashes = [bytes(r.hash) for r in table.collect()]
+                assert len(set(hashes)) == len(hashes)
+            # a batch is shuffled once, runs are joined and merged as they lie
+            new = plan(runs.new(lines(7)))
+            assert new.count("Exchange") == 1 and new.count("SortMergeJoin") == 3 and new.count("Sort [") == 1 and new.count("Bucketed: true") == 3
+            assert "Exchange" not in plan(runs.merged()) and "Sort [" not in plan(runs.merged())
+            names = [name for level in runs.levels for name, _ in level]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any(spark.catalog.tableExists(name) for name in names) and spark.conf.get(linededup._ORDERING) == "false"
+
+
+def test_an_id_far_from_the_others_makes_no_difference(spark):
+    line = "a line that is long enough to be looked at, and more"
+    docs = spark.createDataFrame([(i, line) for i in [*range(40), 2**62, -(2**62)]] + [(5, line)] * 3, "doc_id long, text string")
+    found = linededup.dedup_lines(docs, batch_docs=5, most_batches=6)
+    assert {r.doc_id for r in found.where("_n_dropped = 0").collect()} == {2**62} and found.count() == 45
 
 
 # -- SimHash
