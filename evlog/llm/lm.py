@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, hash_words, mix
-from .exchange import Exchange, Merged, answers_of, each_block
+from .exchange import Exchange, Rule, add, answers_of, each_block
 
 _END = np.uint64(0xE703_7ED1_A0B4_28DB)
 _GOLD = np.uint64(0x9E37_79B9_7F4A_7C15)
@@ -89,10 +89,9 @@ def _send(order: int):
     return run
 
 
-def _answer(kind, keys, values):
-    merged = Merged(keys)
-    totals = merged.reduce(np.add, [v[0].astype(np.int64) for v in values])
-    return merged.back(totals), [int((totals > 0).sum()), int(totals.sum())] if kind == 1 else []
+#: How an n-gram's counts are answered; of single tokens also how many there are, different and in all.
+_COUNTS = Rule((add,), lambda totals: totals)
+_TOKEN_COUNTS = Rule((add,), lambda totals: totals, lambda totals: [int((totals > 0).sum()), int(totals.sum())])
 
 
 def _estimates(grams: list, contexts: list, n_tokens: int, less: int) -> list[np.ndarray]:
@@ -150,12 +149,13 @@ def _scored(order: int, n_tokens: int, vocabulary: int, weights: np.ndarray):
                 tokens = Tokens(doc_ids, texts, order)
                 grams, contexts = tokens.counts(answers)
                 w = weights[frequency_bucket(contexts[-1]) if order > 1 else np.zeros(len(grams[0]), np.int64)]
-                p = w[:, 0] / (vocabulary + 1)
-                for k, e in enumerate(_estimates(grams, contexts, n_tokens, 0), 1):
-                    p += w[:, k] * e
+                p, weight = w[:, 0] / (vocabulary + 1), w[:, 0].copy()
                 # where a context was never seen its order has no estimate: the others share its weight
-                for k, c in enumerate(contexts[1:], 2):
-                    p = np.where(c > 0, p, p / np.maximum(1e-300, 1 - w[:, k])) if k == order else p
+                for k, (e, c) in enumerate(zip(_estimates(grams, contexts, n_tokens, 0), contexts, strict=True), 1):
+                    there = np.ones(len(e), bool) if c is None else c > 0
+                    p += np.where(there, w[:, k] * e, 0.0)
+                    weight += np.where(there, w[:, k], 0.0)
+                p /= np.maximum(1e-300, weight)
                 base = np.log10((grams[0] + 0.5) / (n_tokens + 0.5 * (vocabulary + 1)))
                 total = lambda x: np.add.reduceat(x, tokens.firsts)  # noqa: E731, B023
                 lengths = tokens.ends - tokens.firsts + 1
@@ -169,20 +169,19 @@ def _scored(order: int, n_tokens: int, vocabulary: int, weights: np.ndarray):
 
 def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each document."""
-    exchange = Exchange(docs, "lm")
-    work = exchange.work
-    bytes_ = exchange.blocks.agg(F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + octet_length(t))"))).first()[0] or 0
-    answers = exchange.send(_send(order), _answer, bytes_ // 6 * order, "counts")
-    known = answers.where("facts is not null and kind = 1").select(F.sum(F.col("facts")[0]), F.sum(F.col("facts")[1])).first()
-    vocabulary, n_tokens = (x or 0 for x in known)
-    work.release()
-    met = exchange.meet(answers)
-    counted = met.mapInArrow(_held_out_counts(order, n_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = work.save(counted, "cells").toPandas()  # 64 buckets x _SIZES**order at most, whatever the corpus
-    untrained = np.eye(1, order + 1).repeat(64, axis=0)  # all weight on order 0
-    weights = untrained if not n_tokens else learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), order, vocabulary)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = work.save(met.mapInArrow(_scored(order, n_tokens, vocabulary, weights), schema), "scores")
-    exchange.close()
+    with Exchange(docs, "lm") as exchange:
+        work = exchange.work
+        bytes_ = exchange.blocks.agg(F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + octet_length(t))"))).first()[0] or 0
+        answers = exchange.send(_send(order), {n: _COUNTS if n > 1 else _TOKEN_COUNTS for n in range(1, order + 1)}, bytes_ // 6 * order, "counts")
+        vocabulary, n_tokens = answers.facts(1) or (0, 0)
+        work.release()
+        met = exchange.meet(answers)
+        counted = met.mapInArrow(_held_out_counts(order, n_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        cells = work.save(counted, "cells").toPandas()  # 64 buckets x _SIZES**order at most, whatever the corpus
+        untrained = np.eye(1, order + 1).repeat(64, axis=0)  # all weight on order 0
+        weights = untrained if not n_tokens else learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), order, vocabulary)
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        out = work.save(met.mapInArrow(_scored(order, n_tokens, vocabulary, weights), schema), "scores")
     work.drop("counts")
+    work.drop("cells")
     return out

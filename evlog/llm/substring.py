@@ -7,13 +7,14 @@ unique, and most of a corpus is done with. Of the rest each block sends its diff
 the word after it and before it (or that these differ), and learns which are repeated and whether the path is nonbranching
 there: all occurrences go on with one word, or come from one.
 
-Repeated k-mers that follow each other along a nonbranching edge compact into one path; each occurrence of a path is a row
-with its source coordinates: first k-mer, length, document, start, and a digest of the words of the whole span. Paths meet in
-a Spark join: spans that agree in first k-mer, length and digest are one repeated text. The earliest occurrence by
-(doc_id, start) stays, and every word that a later occurrence covers goes. A path that has not as many verified spans as its
-first k-mer has occurrences was compacted across a hash collision; then all is joined again by single k-mers.
+Repeated k-mers that follow each other along a nonbranching edge, and occur as often as each other, compact into one path;
+each occurrence of a path is a row with its source coordinates: first k-mer, length, document, start, and a 128-bit digest of
+the words of the whole span, as they are written. Paths meet in a Spark join: spans that agree in first k-mer, length and
+digest are one repeated text. The earliest occurrence by (doc_id, start) stays, and every word that a later occurrence covers
+goes. A path with as many equal spans as its first k-mer has occurrences holds all occurrences of its k-mers. Where there are
+fewer, hashes have met: such spans, and no others, are cut into their single k-mers and joined once more, by these alone.
 
-Words are cut at ASCII white space and compared by 64-bit hashes, as are k-mers; a digest is 128 bits.
+Words are cut at ASCII white space; words and k-mers are found by 64-bit hashes, and equal only if their digests are.
 
 Defined results: a null text has no words; texts of fewer than `size` words have no windows; rows without an id are the
 first in order; rows that repeat an id are ordered by start and then by where they are stored. An empty table gives no rows. Other columns are ignored.
@@ -22,14 +23,15 @@ first in order; rows that repeat an id are ordered by start and then by where th
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, join_hot, mix
-from .exchange import Exchange, Merged, answers_of, each_block
+from .common import Work, hash_words, join_hot, mix
+from .exchange import Exchange, Rule, add, answers_of, each_block, same
 
 _GOLD = np.uint64(0x9E37_79B9_7F4A_7C15)
 _MINIMISER, _KMER = 1, 2
@@ -128,29 +130,24 @@ def _send_kmers(size: int):
     return run
 
 
-def _count(kind, keys, values):
-    merged = Merged(keys)
-    totals = merged.reduce(np.add, [v[0].astype(np.int64) for v in values])
-    if kind == _MINIMISER:
-        return merged.back(np.minimum(totals, 2)), [int(totals[totals > 1].sum())]
-    flags = totals * 4
-    for bit, which in ((1, 1), (2, 2)):
-        sides = [v[which] for v in values]
-        low, high = merged.reduce(np.minimum, sides), merged.reduce(np.maximum, sides)
-        flags += bit * ((low == high) & (low > 0))
-    return merged.back(flags), [int((totals > 1).sum())]
+_RULES = {
+    _MINIMISER: Rule((add,), lambda totals: np.minimum(totals, 2)),
+    # how often, and whether all occurrences go on with one word, or come from one
+    _KMER: Rule((add, same, same), lambda totals, after, before: totals * 4 + (after > 0) + 2 * (before > 0)),
+}
 
 
-def _digest(words: np.ndarray) -> bytes:
-    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _spans(size: int, compact: bool):
-    """The occurrences of the compacted paths in each block; without compact each repeated k-mer is a path."""
+def _spans(size: int, single: bool = False):
+    """The occurrences of the compacted paths in each block. single: those of each k-mer of the spans in the rows' `broken`."""
 
     def run(batches):
         for rows in batches:
-            for number, doc_ids, texts, answers in each_block(rows):
+            broken = rows.column("broken").to_pylist() if single else None
+            for i, (number, doc_ids, texts, answers) in enumerate(each_block(rows)):
                 block = Block(texts, size)
                 block.repeated(answers)
                 flags = answers_of(answers, _KMER).astype(np.int64)
@@ -159,17 +156,25 @@ def _spans(size: int, compact: bool):
                 starts, flags, kmers = block.starts[live], flags[live], block.kmers[block.at[live]].view(np.int64)
                 if not len(starts):
                     continue
-                # an edge goes on the path of the edge before it if both stand next to each other and neither branches there
-                on = (starts[1:] == starts[:-1] + 1) & (block.doc[starts[1:]] == block.doc[starts[:-1]]) & (flags[:-1] & 1 > 0) & (flags[1:] & 2 > 0)
-                heads = np.flatnonzero(np.concatenate(([True], ~(on & compact))))
+                if single:
+                    wanted = np.concatenate([block.begins[b["place"]] + b["start"] + np.arange(b["kmers"]) for b in broken[i]])
+                    some = np.flatnonzero(np.isin(starts, wanted))
+                    starts, flags, kmers = starts[some], flags[some], kmers[some]
+                    heads = np.arange(len(starts))
+                else:
+                    # an edge goes on the path of the edge before it if both stand next to each other, neither branches there, and
+                    # neither occurs more often than the other
+                    on = (starts[1:] == starts[:-1] + 1) & (block.doc[starts[1:]] == block.doc[starts[:-1]]) & (flags[:-1] & 1 > 0) & (flags[1:] & 2 > 0) & (flags[:-1] >> 2 == flags[1:] >> 2)
+                    heads = np.flatnonzero(np.concatenate(([True], ~on)))
                 lengths = np.diff(np.append(heads, len(starts)))
-                docs = block.doc[starts[heads]].tolist()
-                words = block.words
-                first = starts[heads].tolist()
-                digests = [_digest(words[s : s + n + size - 1]) for s, n in zip(first, lengths.tolist(), strict=True)]
+                docs, first = block.doc[starts[heads]].tolist(), starts[heads].tolist()
+                spelled = b"\n".join(texts).split()  # the words that were hashed, in the same order
+                ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1)
+                buffer, begins = b" ".join(spelled), np.concatenate(([0], ends))
+                digests = [_digest(buffer[begins[s] : begins[s + n + size - 1]].rstrip(b" ")) for s, n in zip(first, lengths.tolist(), strict=True)]
                 own = [doc_ids[d] for d in docs]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kmers[heads]), pa.array(lengths), pa.array(digests, pa.binary()), pa.array(flags[heads] >> 2), pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(docs, pa.int64()), pa.array(np.array(first) - block.begins[docs])],
+                    [pa.array(kmers[heads]), pa.array(lengths), pa.array(digests, pa.binary()), pa.array(flags[heads] >> 2), pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(docs, pa.int64()), pa.array(np.array(first, np.int64) - block.begins[docs])],
                     _SPAN.names,
                 )
 
@@ -215,27 +220,40 @@ def _kept(size: int):
 
 def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space): a row for each document."""
-    exchange = Exchange(docs, "substring")
-    work = exchange.work
-    total = exchange.blocks.agg(F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + octet_length(t))"))).first()[0] or 0
-    minimisers = exchange.send(_send_minimisers(size), _count, total // 30, "minimisers")
-    work.release()
-    kmers = exchange.send(_send_kmers(size), _count, total // 20, "kmers", exchange.meet(minimisers))
-    work.release()
-    met = exchange.meet(minimisers, kmers)
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "start", "block", "place")
-    name = F.sha2(F.concat(F.hex("path"), F.lit("/"), F.hex("kmers"), F.lit("/"), F.hex("digest")), 256)
-    for compact in (True, False):
-        spans = met.mapInArrow(_spans(size, compact), _SPAN_DDL)
-        named = work.save(spans.select(name.alias("name"), "kmers", "count", "block", "place", "start", place.alias("at")), f"spans-{compact}")
-        paths = work.save(named.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max("count").alias("count")), f"paths-{compact}")
-        if paths.where("n <> count").isEmpty():
-            break
-    work.drop("minimisers")
-    work.drop("kmers")
-    work.release()
-    later = join_hot(named.drop("count"), paths.drop("count"), "name", "n", named.count()).where(F.col("at") != F.col("first"))
-    gone = later.groupBy("block").agg(F.collect_list(F.struct("place", "start", "kmers")).alias("gone"))
-    out = work.save(exchange.blocks.join(gone.hint("shuffle_hash"), "block", "left").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept string"), "kept")
-    exchange.close()
+    with Exchange(docs, "substring") as exchange:
+        work = exchange.work
+        total = exchange.blocks.agg(F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + octet_length(t))"))).first()[0] or 0
+        minimisers = exchange.send(_send_minimisers(size), {_MINIMISER: _RULES[_MINIMISER]}, total // 30, "minimisers")
+        work.release()
+        kmers = exchange.send(_send_kmers(size), {_KMER: _RULES[_KMER]}, total // 20, "kmers", exchange.meet(minimisers))
+        work.release()
+        met = exchange.meet(minimisers, kmers)
+        spans, paths = _joined(work, met.mapInArrow(_spans(size), _SPAN_DDL), "paths")
+        broken = paths.where("n <> count")
+        if broken.isEmpty():
+            tables = [(spans, paths)]
+        else:
+            whole = work.save(spans.join(broken.select("name"), "name", "left_anti"), "whole-spans")
+            cut = spans.join(broken.select("name"), "name", "left_semi").groupBy("block").agg(F.collect_list(F.struct("place", "start", "kmers")).alias("broken"))
+            again = met.join(cut, "block").mapInArrow(_spans(size, True), _SPAN_DDL)
+            tables = [(whole, paths.where("n = count")), _joined(work, again, "kmers-alone")]
+        for name in ("minimisers", "kmers"):
+            work.drop(name)
+        work.release()
+        later = [join_hot(own, found.drop("count"), "name", "n", own.count()).where(F.col("at") != F.col("first")).select("block", "place", "start", "kmers") for own, found in tables]
+        gone = reduce(DataFrame.unionByName, later).groupBy("block").agg(F.collect_list(F.struct("place", "start", "kmers")).alias("gone"))
+        out = work.save(exchange.blocks.join(gone.hint("shuffle_hash"), "block", "left").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept string"), "kept")
+    for name in ("paths-spans", "paths", "whole-spans", "kmers-alone-spans", "kmers-alone"):
+        work.drop(name)
     return out
+
+
+def _joined(work: Work, spans: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The spans under their names, and for each name its first span, its spans, and the occurrences of its first k-mer."""
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "start", "block", "place")
+    text = F.sha2(F.concat(F.hex("path"), F.lit("/"), F.hex("kmers"), F.lit("/"), F.hex("digest")), 256)
+    named = work.save(spans.select(text.alias("name"), "kmers", "count", "block", "place", "start", place.alias("at")), f"{name}-spans")
+    found = work.save(named.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max("count").alias("count")), name)
+    return named.drop("count"), found
+
+

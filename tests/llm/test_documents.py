@@ -277,13 +277,55 @@ def test_substring_dedup(spark, rows, size):
     assert listed(found, "doc_id", "n_words", "n_removed", "kept") == removed_by_hand(own, size)
 
 
-def test_substring_dedup_by_single_kmers(spark, rows, monkeypatch):
-    """Without compaction, as after a hash collision, the result is the same."""
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_substring_dedup_where_hashes_meet(spark, rows, monkeypatch, bits):
+    """The words beside a k-mer are told apart by a few bits only, so that paths are compacted across branches: those spans are
+    cut again, and the result is the same."""
     own = list({r[0]: r for r in rows if r[0] is not None}.values())
-    real = substring._spans
-    monkeypatch.setattr(substring, "_spans", lambda size, compact: real(size, False))
-    found = substring.dedup_substrings(spark.createDataFrame(own, DDL), 20).withColumn("kept", F.sha2("kept", 256))
-    assert listed(found, "doc_id", "n_words", "n_removed", "kept") == removed_by_hand(own, 20)
+    own += [(1000 + i, " ".join(["p q r s t u"] * 3 + [f"x{i % 3} y{i % 2} z w v"] * 3), "a", "s", 1, "h", 1, 2) for i in range(8)]
+    real = substring.Block.repeated
+
+    def blurred(self, answers):
+        real(self, answers)
+        for side in (self.next, self.before):
+            side[side > 0] = (side[side > 0] >> np.uint64(5)) % np.uint64(1 << bits) + np.uint64(1)
+
+    monkeypatch.setattr(substring.Block, "repeated", blurred)
+    for size in (20, 4):
+        found = substring.dedup_substrings(spark.createDataFrame(own, DDL), size).withColumn("kept", F.sha2("kept", 256))
+        assert listed(found, "doc_id", "n_words", "n_removed", "kept") == removed_by_hand(own, size)
+
+
+def test_kmers_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+    """All k-mers of a size have one of eight hashes."""
+    real = substring.windows
+    monkeypatch.setattr(substring, "windows", lambda h, size: real(h, size) % np.uint64(8) if size == 5 else real(h, size))
+    rng = random.Random(4)
+    own = [(i, " ".join(rng.choice("abc") for _ in range(30))) for i in range(6)]
+    found = substring.dedup_substrings(spark.createDataFrame(own, "doc_id long, text string"), 5).withColumn("kept", F.sha2("kept", 256))
+    assert listed(found, "doc_id", "n_words", "n_removed", "kept") == removed_by_hand(own, 5)
+
+
+@pytest.mark.parametrize("fan", [2, 4, 4096])
+def test_exchange_by_one_level_and_two(docs, rows, monkeypatch, fan):
+    """With tiny buckets and a small fan keys go through nodes; counts are the same."""
+    monkeypatch.setattr(lm.Exchange.__init__, "__defaults__", (4000, 64, fan, 2))
+    assert listed(lm.score(docs).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("score", 6).alias("score")), "doc_id", "n_tokens", "n_known", "train_tokens", "score") == monkeypatch_free(docs)
+    own = {r[0]: r for r in rows if r[0] is not None}.values()
+    found = substring.dedup_substrings(docs.sparkSession.createDataFrame(list(own), DDL).repartition(3), 5).withColumn("kept", F.sha2("kept", 256))
+    assert listed(found, "doc_id", "n_words", "n_removed", "kept") == removed_by_hand(own, 5)
+
+
+_WHOLE = {}
+
+
+def monkeypatch_free(docs):
+    """The scores with the usual buckets."""
+    if not _WHOLE:
+        defaults, lm.Exchange.__init__.__defaults__ = lm.Exchange.__init__.__defaults__, (8 << 20, 1 << 20, 4096, 512)
+        _WHOLE["scores"] = listed(lm.score(docs).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("score", 6).alias("score")), "doc_id", "n_tokens", "n_known", "train_tokens", "score")
+        lm.Exchange.__init__.__defaults__ = defaults
+    return _WHOLE["scores"]
 
 
 def test_substring_dedup_with_null_and_repeated_ids(docs, empty):
@@ -334,6 +376,62 @@ def test_lm_counts_and_scores(docs, rows):
             assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
+class LmByHand:
+    """The model over dictionaries, with an EM of its own over all training tokens one by one."""
+
+    def __init__(self, texts, order):
+        self.order, self.train = order, [[*t.split(), None] for t in texts]
+        self.counts = [None, *[Counter(self.gram(n, own, i) for own in self.train for i in range(len(own))) for n in range(1, order + 1)]]
+        self.n, self.v = sum(self.counts[1].values()), len(self.counts[1])
+        tokens = [(self.bucket(own, i, 1), [1 / (self.v + 1), *map(self.rounded, self.estimates(own, i, 1))]) for own in self.train for i in range(len(own))]
+        self.weights = [[1 / (order + 1)] * (order + 1)] * 64
+        for _ in range(60):
+            got = [[1.0] * (order + 1) for _ in range(64)]
+            for b, p in tokens:
+                share = [w * x for w, x in zip(self.weights[b], p, strict=True)]
+                for k, x in enumerate(share):
+                    got[b][k] += x / sum(share)
+            self.weights = [[x / sum(g) for x in g] for g in got]
+
+    @staticmethod
+    def rounded(e):
+        return 2.0 ** (round(3 * np.log2(e)) / 3) if e else 0.0
+
+    def gram(self, n, own, i):
+        return own[i] if n == 1 else (n, own[0]) if i == 0 else (self.gram(n - 1, own, i - 1), own[i])
+
+    def context(self, n, own, i):
+        return len(self.train) if i == 0 else self.counts[n - 1][self.gram(n - 1, own, i - 1)]
+
+    def bucket(self, own, i, less=0):
+        return (self.context(self.order, own, i) - less).bit_length() if self.order > 1 else 0
+
+    def estimates(self, own, i, less=0):
+        out = [(self.counts[1][own[i]] - less) / (self.n - less)]
+        for n in range(2, self.order + 1):
+            c = self.context(n, own, i) - less
+            out.append((self.counts[n][self.gram(n, own, i)] - less) / c if c > 0 else 0.0)
+        return out
+
+    def p(self, own, i):
+        w, e = self.weights[self.bucket(own, i)], self.estimates(own, i)
+        there = [True, True, *[self.context(n, own, i) > 0 for n in range(2, self.order + 1)]]
+        return sum(x * y for x, y, t in zip(w, [1 / (self.v + 1), *e], there, strict=True) if t) / sum(x for x, t in zip(w, there, strict=True) if t)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_equals_dictionaries_and_sums_to_one(spark, order):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice("aabbcd") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(1000 + i, " ".join(rng.choice("abcdxy") for _ in range(6))) for i in range(30)]
+    model = LmByHand([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], order)
+    scores = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), order).collect()}
+    for i, text in rows:
+        own = [*text.split(), None]
+        assert scores[i] == pytest.approx(sum(np.log10(model.p(own, k)) for k in range(len(own))), rel=1e-6), text
+    for context in ("", "a", "a b", "x", "a x", "x a", "d d c"):
+        assert sum(model.p([*context.split(), w], len(context.split())) for w in ["a", "b", "c", "d", None, "unseen"]) == pytest.approx(1)
+
+
 @pytest.mark.parametrize("order", [1, 3])
 def test_lm_other_orders_give_probabilities(docs, order):
     for r in lm.score(docs, order).collect():
