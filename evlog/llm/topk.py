@@ -1,10 +1,12 @@
 """Exact top-k search by inner product: a KD-tree for each shard, best-first traversal, and the k-th score carried on.
 
-Vectors are dealt to shards of a bounded number of rows by a hash of their id. Each shard becomes a KD-tree: median
-splits along the widest side, with the tightest box around every node. For a query q, no point of a box [lo, hi] scores
-more than max(q,0)·hi + min(q,0)·lo, so nodes are taken from a heap by that bound until it falls below the k-th score.
-Queries travel in blocks. A block first searches one pilot shard; its k-th scores then go with it to all other shards
-and prune there from the start.
+Vectors are dealt to shards of a bounded number of rows by median splits, learned on a bounded sample of the vectors; a part
+that holds more than its share, as of equal vectors, is dealt on by turns. Each shard becomes a KD-tree: median splits along
+the widest side, with the tightest box around every node. For a query q, no point of a box [lo, hi] scores more than
+max(q,0)·hi + min(q,0)·lo, so nodes are taken from a heap by that bound until it falls below the k-th score. Queries travel in
+blocks of neighbours. A block first searches the shard whose box promises most; then its queries go, with their k-th scores,
+to those shards whose boxes reach these scores, and to no others, and prune there from the start. The boxes are broadcast;
+where they would take more than `box_bytes` neighbouring shards share one.
 
 Defined results: vectors that are null or hold null, NaN or infinity take no part, nor do rows without an id; shorter
 vectors count as padded with zeros (an empty one scores 0). Rows that repeat an id are candidates of that id, of which the
@@ -15,7 +17,6 @@ held at the limit. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import Work, batch
 
 _VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary())])
-_TREE = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("points", pa.binary()), ("dim", pa.int32()), ("thresholds", pa.binary())])
+_TREE = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("points", pa.binary()), ("dim", pa.int32()), ("thresholds", pa.binary())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-_DDL = "shard long, kind int, ids binary, points binary, dim int, thresholds binary"
+_DDL = "shard int, kind int, ids binary, points binary, dim int, thresholds binary"
 
 
 def quantised(scale: float):
@@ -114,22 +115,154 @@ def _exact(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
         yield [-s for s, _ in top], [i for _, i in top]
 
 
-def _padded(vectors: list[bytes]) -> np.ndarray:
-    rows = [np.frombuffer(v, np.float64) for v in vectors]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _padded(vectors: list[bytes], dim: int) -> np.ndarray:
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        row = np.frombuffer(v, np.float64)
+        out[i, : len(row)] = row
     return out
 
 
-def _gathered(kind: int):
-    """A group of vectors as one row: a shard (kind 0) or a block of queries (kind 1)."""
+class Splits:
+    """Median splits of a sample into `parts`, as a tree in arrays: a node's axis (-1: a leaf), value and children."""
+
+    def __init__(self, sample: np.ndarray, parts: int):
+        self.axis, self.value, self.child, self.leaf, self.leaves = [], [], [], [], 0
+        todo = [(np.arange(len(sample)), parts, None)]
+        while todo:  # depth first, so that neighbouring leaves have neighbouring numbers
+            rows, parts, parent = todo.pop()
+            node = len(self.axis)
+            if parent is not None:
+                self.child[parent[0]][parent[1]] = node
+            own = sample[rows]
+            axis = int(np.argmax(own.max(0) - own.min(0))) if parts > 1 and len(rows) > 1 and sample.shape[1] else -1
+            value = np.sort(own[:, axis])[max(1, len(rows) * (parts // 2) // parts)] if axis >= 0 else 0.0
+            above = own[:, axis] >= value if axis >= 0 else np.zeros(0, bool)
+            if axis >= 0 and (above.all() or not above.any()):
+                axis = -1
+            self.axis.append(axis)
+            self.value.append(value)
+            self.child.append([-1, -1])
+            self.leaf.append(-1 if axis >= 0 else self.leaves)
+            if axis < 0:
+                self.leaves += 1
+            else:
+                todo += [(rows[above], parts - parts // 2, (node, 1)), (rows[~above], parts // 2, (node, 0))]
+        self.axis, self.value, self.child, self.leaf = np.array(self.axis), np.array(self.value), np.array(self.child), np.array(self.leaf)
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        while len(inner := np.flatnonzero(self.axis[node] >= 0)):
+            at = node[inner]
+            node[inner] = self.child[at, (points[inner, self.axis[at]] >= self.value[at]).astype(np.int64)]
+        return self.leaf[node]
+
+
+def _placed(splits, dim: int):
+    def run(batches):
+        for rows in batches:
+            leaf = splits.value.place(_padded(rows.column("v").to_pylist(), dim))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(leaf, pa.int32())], [*rows.schema.names, "leaf"])
+
+    return run
+
+
+def _gathered(dim: int):
+    """The vectors of a shard as one row."""
 
     def run(key, table):
-        points = _padded(table.column("v").to_pylist())
-        ids = np.asarray(table.column("id"), np.int64)
-        least = np.full(len(ids), -np.inf)
-        return pa.Table.from_batches([batch(_TREE, [key[0].as_py()], [kind], [ids.tobytes()], [points.tobytes()], [points.shape[1]], [least.tobytes()])])
+        points, ids = _padded(table.column("v").to_pylist(), dim), np.asarray(table.column("id"), np.int64)
+        none = np.empty(0).tobytes()
+        return pa.Table.from_batches([batch(_TREE, [key[0].as_py()], [0], [ids.tobytes()], [points.tobytes()], [dim], [none])])
+
+    return run
+
+
+def _blocked(dim: int, block_rows: int):
+    """Queries, which come sorted, in blocks."""
+
+    def run(batches):
+        ids, vectors = [], []
+
+        def block():
+            return batch(_TREE, [0], [1], [np.array(ids, np.int64).tobytes()], [_padded(vectors, dim).tobytes()], [dim], [np.full(len(ids), -np.inf).tobytes()])
+
+        for rows in batches:
+            for key, v in zip(rows.column("id").to_pylist(), rows.column("v").to_pylist(), strict=True):
+                ids.append(key)
+                vectors.append(v)
+                if len(ids) == block_rows:
+                    yield block()
+                    ids, vectors = [], []
+        if ids:
+            yield block()
+
+    return run
+
+
+class Boxes:
+    """The box around every shard, or around each `span` neighbouring ones."""
+
+    def __init__(self, shards: int, dim: int, box_bytes: int):
+        self.shards, self.span = shards, max(1, -(-shards * dim * 16 // box_bytes))
+        n = -(-shards // self.span)
+        self.lo, self.hi = np.full((n, dim), np.inf), np.full((n, dim), -np.inf)
+
+    def add(self, shard: int, lo: np.ndarray, hi: np.ndarray) -> None:
+        at = shard // self.span
+        self.lo[at], self.hi[at] = np.minimum(self.lo[at], lo), np.maximum(self.hi[at], hi)
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and box what no vector in it exceeds; infinite where float64 would round."""
+        there = np.isfinite(self.lo).all(1)
+        lo, hi = np.where(there[:, None], self.lo, 0), np.where(there[:, None], self.hi, 0)
+        out = np.maximum(queries, 0) @ hi.T + np.minimum(queries, 0) @ lo.T
+        most = np.abs(queries).max(initial=0) * max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0)) * max(1, queries.shape[1])
+        return np.where(there, out if most < 2**53 else np.inf, -np.inf)
+
+
+def _edges(batches):
+    """(shard, lo, hi) of each shard."""
+    for rows in batches:
+        out = []
+        for row in rows.to_pylist():
+            points = np.frombuffer(row["points"], np.float64).reshape(-1, row["dim"])
+            out.append((row["shard"], points.min(0).tobytes(), points.max(0).tobytes()))
+        yield batch(pa.schema([("shard", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary())]), *zip(*out, strict=True)) if out else pa.RecordBatch.from_pylist([], pa.schema([("shard", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary())]))
+
+
+def _queries_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["points"], np.float64).reshape(len(ids), row["dim"]), np.frombuffer(row["thresholds"], np.float64)
+
+
+def _pilot(boxes):
+    """Each block with the shard that promises most to its queries together."""
+
+    def run(batches):
+        for rows in batches:
+            for row in rows.to_pylist():
+                own = boxes.value
+                promise = np.where(np.isfinite(bounds := own.bounds(_queries_of(row)[1])), bounds, np.sign(bounds)).sum(0)
+                yield pa.RecordBatch.from_pylist([row | {"shard": int(np.argmax(promise)) * own.span}], schema=_TREE)
+
+    return run
+
+
+def _routed(boxes):
+    """The queries of each block that a shard's box can still help, for each shard but the pilot."""
+
+    def run(batches):
+        for rows in batches:
+            for row in rows.to_pylist():
+                own, (ids, points, least) = boxes.value, _queries_of(row)
+                wanted = own.bounds(points) >= least[:, None]
+                for box in np.flatnonzero(wanted.any(0)).tolist():
+                    some = np.flatnonzero(wanted[:, box])
+                    sent = row | {"ids": ids[some].tobytes(), "points": points[some].tobytes(), "thresholds": least[some].tobytes()}
+                    for shard in range(box * own.span, min((box + 1) * own.span, own.shards)):
+                        if shard != row["shard"]:
+                            yield pa.RecordBatch.from_pylist([{c: sent[c] for c in _TREE.names} | {"shard": shard}], schema=_TREE)
 
     return run
 
@@ -176,27 +309,43 @@ def _searched(k: int, leaf: int, carry: bool):
     return carried if carry else found_only
 
 
-def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, scale: float = 256.0, shard_rows: int = 16384, block_rows: int = 1024, leaf: int = 128) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best. Queries are the rows whose id is divisible by query_every."""
+def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, scale: float = 256.0, shard_rows: int = 16384, block_rows: int = 1024, leaf: int = 128, sample_bytes: int = 32 << 20, box_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best. Queries are the rows whose id is divisible by query_every.
+    sample_bytes: how much of the vectors the splits between shards are learned on, by a hash of their ids."""
     spark = vectors.sparkSession
     work = Work(spark, "topk")
     slim = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
     points = work.save(slim.mapInArrow(quantised(scale), "id long, v binary"), "points")
+    n, dim = points.agg(F.count("*"), F.coalesce(F.max(F.octet_length("v")), F.lit(0)) / 8).first()
+    dim, wanted = int(dim), max(1, -(-n // shard_rows))
+    share = sample_bytes / max(1, n * (8 * dim + 16))
+    drawn = points.where((F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else F.lit(True)) if wanted > 1 else points.limit(0)
+    sample = _padded([bytes(r.v) for r in drawn.select("v").limit(int(2 * share * n) + 1000).toLocalIterator()], dim)
+    splits = spark.sparkContext.broadcast(Splits(sample, wanted))
+    # a part of over two shards is dealt to several by turns; `turn` differs for rows that are equal in all
+    placed = work.save(points.mapInArrow(_placed(splits, dim), "id long, v binary, leaf int").withColumn("turn", F.monotonically_increasing_id()), "placed")
+    work.drop("points")
+    sizes = dict(tuple(r) for r in placed.groupBy("leaf").count().collect())  # a row a part: n / shard_rows of them
+    first, shards = [], 0
+    for part in range(splits.value.leaves):
+        ways = max(1, -(-sizes.get(part, 0) // (2 * shard_rows)))
+        first.append((part, shards, ways))
+        shards += ways
+    dealt = placed.join(F.broadcast(spark.createDataFrame(first, "leaf int, base int, ways int")), "leaf").withColumn("shard", (F.col("base") + F.pmod("turn", "ways")).cast("int"))
+    trees = work.save(dealt.groupBy("shard").applyInArrow(_gathered(dim), _DDL), "shards")
+    boxes = Boxes(shards, dim, box_bytes)
+    for row in trees.mapInArrow(_edges, "shard int, lo binary, hi binary").toLocalIterator():
+        boxes.add(row.shard, np.frombuffer(row.lo), np.frombuffer(row.hi))
+    sent = spark.sparkContext.broadcast(boxes)
     is_query = F.col("id") % query_every == 0
-    n, n_queries = points.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))
-    dealt = lambda df, to: df.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(to)))
-    trees = work.save(dealt(points, shards).groupBy("shard").applyInArrow(_gathered(0), _DDL), "shards")
-    queries = dealt(points.where(is_query), blocks).groupBy("shard").applyInArrow(_gathered(1), _DDL).withColumnRenamed("shard", "block")
-    meet = lambda q: trees.withColumn("block", F.lit(-1).cast("long")).unionByName(q).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block").drop("block")
-    # the pilot: a block in one shard, by turns
-    pilot = queries.withColumn("shard", F.col("block") % shards)
-    first = work.save(meet(pilot).mapInArrow(_searched(k, leaf, True), _DDL + ", found array<struct<query_id long, vec_id long, score long>>"), "pilot")
+    queries = placed.where(is_query).repartitionByRange("leaf", "id").sortWithinPartitions("leaf", "id").mapInArrow(_blocked(dim, block_rows), _DDL)
+    meet = lambda q: trees.unionByName(q).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow
+    first = work.save(meet(queries.mapInArrow(_pilot(sent), _DDL))(_searched(k, leaf, True), _DDL + ", found array<struct<query_id long, vec_id long, score long>>"), "pilot")
     found = first.select(F.inline("found"))
     if shards > 1:
-        others = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), F.array("shard"))
-        rest = first.drop("found").withColumn("block", F.monotonically_increasing_id()).withColumn("shard", F.explode(others))
-        found = found.unionByName(meet(rest).mapInArrow(_searched(k, leaf, False), "query_id long, vec_id long, score long"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # k rows a shard at most for each query
+        found = found.unionByName(meet(first.drop("found").mapInArrow(_routed(sent), _DDL))(_searched(k, leaf, False), "query_id long, vec_id long, score long"))
+    best = work.save(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")  # k rows a shard at most for each query
+    for name in ("placed", "shards", "pilot"):
+        work.drop(name)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -214,6 +214,27 @@ def test_top_k(spark, shard_rows, leaf):
     assert {tuple(r) for r in found.collect()} == top_by_hand(rows)
 
 
+@pytest.mark.parametrize("box_bytes", [1 << 20, 40])
+def test_queries_go_where_boxes_reach(spark, monkeypatch, box_bytes):
+    """In few dimensions most shards are ruled out by their boxes; with few boxes for many shards, fewer are."""
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(2000)] + [(i, [0.5, 0.5]) for i in range(5000, 5900)] + [(7000, [0.25, -0.5])] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = topk.top_k(df, shard_rows=50, block_rows=8, leaf=8, box_bytes=box_bytes)
+    assert {tuple(r) for r in found.collect()} == top_by_hand(rows)
+    boxes = topk.Boxes(40, 2, box_bytes)
+    splits = topk.Splits(np.array([v for _, v in rows[:2000]]), 40)
+    place = splits.place(np.array([v for _, v in rows[:2000]]))
+    assert splits.leaves == 40 and np.bincount(place).max() < 2 * 50
+    for (_, v), leaf in zip(rows[:2000], place.tolist(), strict=True):
+        boxes.add(leaf, np.array(v), np.array(v))
+    query, scores = np.array([[1.0, 0.2]]), {leaf: max(v[0] + 0.2 * v[1] for (_, v), p in zip(rows, place, strict=False) if p == leaf) for leaf in range(40)}
+    bounds = boxes.bounds(query)[0]
+    assert all(bounds[leaf // boxes.span] >= s for leaf, s in scores.items())
+    if boxes.span == 1:
+        assert (bounds >= sorted((v[0] + 0.2 * v[1] for _, v in rows[:2000]), reverse=True)[4]).sum() < 20
+
+
 def test_top_k_of_huge_numbers_and_nothing(spark):
     rows = [(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [1e12, 2.0]), (3, [-1e12, 2.0])]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2)
