@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     here = Path(__file__).parent
-    to = Path(tempfile.mkdtemp(prefix="evlog-ship-")) / f"{here.name}.zip"
+    folder = tempfile.mkdtemp(prefix="evlog-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / f"{here.name}.zip"
     with zipfile.ZipFile(to, "w") as out:
         for source in sorted(here.rglob("*.py")):
             out.write(source, source.relative_to(here.parent))

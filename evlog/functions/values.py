@@ -33,6 +33,14 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def to_fixed(x: Column, digits: int) -> Column:
+    """A double's text with so many decimals, rounded by its exact binary value, halves away from zero."""
+    x = x.cast("double")
+    halves = x * F.lit(2.0 ** (digits + 1))  # exact; an odd whole number where x lies half-way between two texts
+    half_way = (halves == F.floor(halves).cast("double")) & (F.abs(halves % 2) == 1)
+    return F.replace(F.format_number(F.when(half_way, x + F.signum(x) * F.lit(2.0 ** -(4 * digits + 6))).otherwise(x), digits), F.lit(","), F.lit(""))
+
+
 def preview(text: Column, most: int = 500) -> Column:
     """The text, or its start and three dots, `most` characters in all."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
@@ -63,6 +71,29 @@ def aggregate_name(event_type: str, suffixes: tuple[str, ...] = ("Created", "Upd
     return event_type
 
 
+def stream_bucket(stream_id: Column, buckets: int) -> Column:
+    """The bucket of a stream: even for any ids, the same in every run."""
+    return F.pmod(F.xxhash64(stream_id), F.lit(buckets))
+
+
+def batch_id(ms: Column, seed: Column) -> Column:
+    """A number that orders by time: milliseconds, and below them 20 bits of the seed's hash."""
+    return F.shiftleft(ms.cast("long"), 20).bitwiseOR(F.xxhash64(seed).bitwiseAND((1 << 20) - 1))
+
+
+def command_id() -> Column:
+    """A name that no other command has."""
+    return F.uuid()
+
+
+def map_set(m: Column, key: Column, value: Column) -> Column:
+    return F.map_concat(map_delete(m, key), F.create_map(key, value))
+
+
+def map_delete(m: Column, key: Column) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
 #: The operators that expressions may use; any other is an error, never taken for one of these.
 OPERATORS = {
     "===": lambda a, b: a.eqNullSafe(b), "!==": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -72,17 +103,19 @@ OPERATORS = {
 #: The functions that expressions may call.
 METHODS = {
     "trim": lambda x: F.trim(x), "includes": lambda x, y: F.contains(x, y), "endsWith": lambda x, y: F.endswith(x, y), "startsWith": lambda x, y: F.startswith(x, y), "replace": lambda x, y, z: F.replace(x, y, z),
-    "slice": lambda x, a, b: F.substring(x, a + 1, b - a), "toFixed": lambda x, n: F.format_string(f"%.{n}f", x.cast("double")), "max": lambda *x: F.greatest(*x), "min": lambda *x: F.least(*x),
-    "round": round_half_up, "floor": lambda x: F.floor(x), "pow": lambda x, y: F.pow(x, y), "length": lambda x: F.length(x), "values": lambda m: F.map_values(m), "push": lambda a, x: F.array_append(a, x), "has": lambda a, x: F.array_contains(a, x),
+    "slice": lambda x, a, b: F.substring(x, a + 1, b - a), "toFixed": to_fixed, "max": lambda *x: F.greatest(*x), "min": lambda *x: F.least(*x),
+    "round": round_half_up, "floor": lambda x: F.floor(x), "pow": lambda x, y: F.pow(x, y), "length": lambda x: F.length(x), "values": lambda m: F.map_values(m), "keys": lambda m: F.map_keys(m), "get": lambda m, k: F.try_element_at(m, k), "set": map_set, "delete": map_delete, "push": lambda a, x: F.array_append(a, x), "has": lambda a, x: F.array_contains(a, x),
 }
 
 
-def compile_expression(tree) -> Column:
-    """A nested expression as a Column: a literal; {"col": name}; {"field": name, "kind": type}; {"not": e}; {"neg": e};
-    {"if": [condition, then, else]}; {"op": [operator, a, b]}; {"call": [method, arguments …]}; {"array": [e …]};
-    {"object": {name: e}}."""
+def compile_expression(tree, names: dict[str, Column] | None = None) -> Column:
+    """A nested expression as a Column: a literal; {"col": name}; {"field": name, "kind": type}; {"var": name}; {"not": e};
+    {"neg": e}; {"if": [condition, then, else]}; {"let": [name, value, body]}; {"throw": message};
+    {"op": [operator, a, b]}; {"call": [method, arguments …]}; {"array": [e …]}; {"object": {name: e}};
+    {"filter" or "map": [array, name, body]}, where body sees an item under the name."""
     from ..model import SpecError
 
+    names = names or {}
     if not isinstance(tree, dict):
         return F.lit(tree)
     (kind, own), *more = ((k, v) for k, v in tree.items() if k != "kind")
@@ -92,20 +125,66 @@ def compile_expression(tree) -> Column:
         return F.col(own)
     if kind == "field":
         return field(own, tree.get("kind", "string"))
+    of = lambda e: compile_expression(e, names)
+    if kind == "var" and own in names:
+        return names[own]
     if kind == "not":
-        return ~compile_expression(own)
+        return ~of(own)
     if kind == "neg":
-        return -compile_expression(own)
+        return -of(own)
     if kind == "if":
         condition, then, other = own
-        return F.when(compile_expression(condition), compile_expression(then)).otherwise(compile_expression(other))
+        return F.when(of(condition), of(then)).otherwise(of(other))
+    if kind == "let":
+        name, value, body = own
+        return compile_expression(body, names | {name: of(value)})
+    if kind == "throw":
+        return F.raise_error(of(own))
+    if kind in ("filter", "map"):
+        items, name, body = own
+        return (F.filter if kind == "filter" else F.transform)(of(items), lambda x: compile_expression(body, names | {name: x}))
     if kind == "op" and own[0] in OPERATORS:
-        return OPERATORS[own[0]](*map(compile_expression, own[1:]))
+        return OPERATORS[own[0]](*map(of, own[1:]))
     if kind == "call" and own[0] in METHODS:
         plain = own[0] in ("slice", "toFixed")
-        return METHODS[own[0]](compile_expression(own[1]), *(own[2:] if plain else map(compile_expression, own[2:])))
+        return METHODS[own[0]](of(own[1]), *(own[2:] if plain else map(of, own[2:])))
     if kind == "array":
-        return F.array(*map(compile_expression, own))
+        return F.array(*map(of, own))
     if kind == "object":
-        return F.struct(*(compile_expression(v).alias(k) for k, v in own.items()))
+        return F.struct(*(of(v).alias(k) for k, v in own.items()))
     raise SpecError(f"not an expression: {tree!r}")
+
+
+_EMITTED = "array<struct<type:string,data:string>>"
+
+
+def compile_statements(statements: list[dict], names: dict[str, Column] | None = None) -> Column:
+    """A command's body as a Column: the events that it emits, as an array of (type, data). Statements: {"emit": [type,
+    {field: e}]}, {"let": [name, e]}, {"if": [condition, [then …], [else …]]}, {"throw": message}, {"return": null}. Statements
+    after a return that is reached have no effect."""
+    from ..model import SpecError
+
+    names, none = names or {}, F.array().cast(_EMITTED)
+    if not statements:
+        return none
+    (kind, own), rest = next(iter(statements[0].items())), statements[1:]
+    if kind == "emit":
+        data = F.to_json(F.struct(*(compile_expression(v, names).alias(k) for k, v in own[1].items())), {"ignoreNullFields": "false"}) if own[1] else F.lit("{}")
+        return F.concat(F.array(F.struct(F.lit(own[0]).alias("type"), data.alias("data"))), compile_statements(rest, names))
+    if kind == "let":
+        return compile_statements(rest, names | {own[0]: compile_expression(own[1], names)})
+    if kind == "throw":
+        return F.raise_error(compile_expression(own, names)).cast(_EMITTED)
+    if kind == "return":
+        return none
+    if kind == "if":
+        condition, then, other = compile_expression(own[0], names), own[1], own[2] if len(own) > 2 else []
+        if _leaves(then) or _leaves(other):  # the rest belongs to the branches that go on
+            return F.when(condition, compile_statements([*then, *rest], names)).otherwise(compile_statements([*other, *rest], names))
+        return F.concat(F.when(condition, compile_statements(then, names)).otherwise(compile_statements(other, names)), compile_statements(rest, names))
+    raise SpecError(f"not a statement: {statements[0]!r}")
+
+
+def _leaves(statements: list[dict]) -> bool:
+    """Whether a return or an error may end them, or a name is bound that ends with them."""
+    return any(k in ("return", "throw", "let") or k == "if" and (_leaves(v[1]) or _leaves(v[2] if len(v) > 2 else [])) for s in statements for k, v in s.items())

@@ -1,9 +1,12 @@
-"""Queries on telemetry (spans, metrics, logs in one wide table) and on the state of projections."""
+"""Queries on telemetry (spans, metrics, logs in one wide table) and on the state of projections, and where telemetry goes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: Severity codes and their names.
 SEVERITIES = {1: "trace", 5: "debug", 9: "info", 13: "warn", 17: "error", 21: "fatal"}
@@ -74,3 +77,57 @@ def tail(records: DataFrame, after_ms: int, seen: list[str], limit: int = 100) -
     last = max(r.ts_ms for r in rows)
     at_last = [r.span_id for r in rows if r.ts_ms == last and r.span_id is not None]
     return page, last, at_last + (seen if last == after_ms else [])
+
+
+def log_rows(records: DataFrame) -> DataFrame:
+    """Logs as a page shows them, newest first: id (the time and the place among the logs of that time), the severity's name,
+    the body, and the attributes as a map."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("ts_ms").orderBy("span_id")) - 1
+    shown = records.where("kind = 'log'").select(F.concat_ws("-", "ts_ms", nth).alias("id"), "ts_ms", severity_name(F.col("severity")).alias("severity"), "body", F.from_json("attrs", "map<string,string>").alias("attributes"))
+    return shown.orderBy(F.desc("ts_ms"), F.desc("id"))
+
+
+class Telemetry:
+    """Telemetry records below a path, by day. Writing never fails its caller: what can't be stored is counted."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.stored, self.lost, self.last_error = spark, path.rstrip("/"), 0, 0, None
+
+    def write(self, records: DataFrame | list[dict]) -> bool:
+        """Append a batch, whole or not at all; False, and no error, if it can't be."""
+        n = len(records) if isinstance(records, list) else 0
+        try:
+            if isinstance(records, list):
+                names = [c.split()[0] for c in RECORD_DDL.split(", ")]
+                records = self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in records], RECORD_DDL)
+            day = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")
+            records.withColumn("slice", day).write.mode("append").partitionBy("slice").parquet(self.path)
+        except Exception as e:  # noqa: BLE001 - a request must not fail because its trace can't be stored
+            self.lost, self.last_error = self.lost + n, e
+            return False
+        self.stored += n
+        return True
+
+    def records(self) -> DataFrame:
+        return self.spark.read.schema(RECORD_DDL + ", slice string").parquet(self.path)
+
+    def push(self, channels: dict[str, Callable[[DataFrame], DataFrame]], send: Callable[[str, DataFrame], None], checkpoint: str, every_ms: int = 1000, once: bool = False) -> StreamingQuery:
+        """Push channels: at every interval each channel's rows of what is new go to send(channel, rows). A channel that fails
+        doesn't hold the others up; records that were pushed are not pushed again, after a restart neither."""
+        new = self.spark.readStream.schema(RECORD_DDL + ", slice string").parquet(self.path)
+
+        def take(batch: DataFrame, _: int) -> None:
+            batch = batch.persist()
+            try:
+                for name, rows in channels.items():
+                    try:
+                        send(name, rows(batch))
+                    except Exception as e:  # noqa: BLE001 - a listener that is gone
+                        self.last_error = e
+            finally:
+                batch.unpersist()
+
+        writer = new.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_ms} milliseconds")).start()

@@ -53,6 +53,13 @@ class View:
         """The sum over a key range, nulls as 0, and how many rows it has."""
         return self.query_range(start, end).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("total"), F.count("*").alias("n_rows"))
 
+    def cached(self) -> View:
+        """The view with its rows kept in memory, as far as it holds them, least lately used first out; release() gives them up."""
+        return View(self.rows.persist(), self.key)
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
     def layout(self, *fields: str) -> DataFrame:
         """The rows range-partitioned and sorted by fields that queries name, to be written: the index of a Parquet table."""
         by = list(fields) or [self.key]

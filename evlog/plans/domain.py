@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
+import runpy
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import SpecError
 from ..sources.log import Append, BatchAppended, EventLog
-from .folds import Fields, Machine, Resettable
+from .folds import Fields, Fold, Machine, Resettable
+from .projections import Projection
 
 
 def field_of(name: str, kind: str = "string") -> str:
@@ -211,6 +217,31 @@ def orchestrate(log: EventLog, steps: list[tuple[Aggregate, str, dict]], tenant_
     return log.append_batch(parts)
 
 
+def states_of_two(events: DataFrame, first: Fold, second: Fold, on: str, how: str = "left") -> DataFrame:
+    """The states of one kind of streams beside those of another that they name: both folded at once, as wholes, and joined.
+    on: the column of the first fold's states that holds the second's keys. Columns that both have are the first's."""
+    one, two = first.batch(events), second.batch(events)
+    key = second.keys[0]
+    two = two.select(F.col(key).alias("_named"), *[c for c in two.columns if c != key and c not in one.columns])
+    return one.join(two, one[on] == two["_named"], how).drop("_named")
+
+
+def discover(folder: str, skipped: tuple[str, ...] = ("__init__.py",)) -> dict[str, object]:
+    """The folds, projections and aggregates that the Python files below a folder define, by name. Files and folders whose
+    names begin with a dot or an underscore, and installed packages, are left out; files are taken in order of their names."""
+    found: dict[str, object] = {}
+    for path in sorted(Path(folder).rglob("*.py")):
+        parts = path.relative_to(folder).parts
+        if path.name in skipped or any(p.startswith((".", "_")) or p in ("site-packages", "node_modules") for p in parts):
+            continue
+        for name, value in runpy.run_path(str(path)).items():
+            if isinstance(value, (Fold, Aggregate, Projection)) and not name.startswith("_"):
+                if name in found:
+                    raise SpecError(f"{name} is defined twice")
+                found[name] = value
+    return found
+
+
 def lookup(log: EventLog, kind: str, value: str, field: str = "userId") -> str | None:
     """A secondary index kept as one-event streams: what the first event of lookup-<kind>-<value> says."""
     row = log.read_stream(f"lookup-{kind}-{value}", limit=1).first()

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import AlreadyRegisteredError, CheckpointCorruptionError, CheckpointLoadError, CheckpointVersionError, CheckpointWriteError, ProjectionDisabledError, ProjectionNotFoundError, SpecError
+from ..model import AlreadyRegisteredError, CheckpointCorruptionError, CheckpointError, CheckpointLoadError, CheckpointVersionError, CheckpointWriteError, ProjectionDisabledError, ProjectionNotFoundError, SpecError
 from ..operators.views import View
 from ..sources.files import Files, Journal
 from .folds import Fold, Machine, of_types
@@ -195,6 +195,17 @@ class StateStore:
                     self.files.delete(folder)
             self.files.delete(self.journal.name(n))
 
+    def delete(self, number: int) -> None:
+        """Remove a state that is kept, and the runs that only it names. The newest one can't be: reset() removes all."""
+        if number == max(self.journal.numbers(), default=-1):
+            raise CheckpointError(f"{self.path}: {number} is the state in force")
+        gone = json.loads(self.files.read(self.journal.name(number)))["runs"]
+        self.files.delete(self.journal.name(number))
+        named = {folder for n in self.journal.numbers() for folder, _ in json.loads(self.files.read(self.journal.name(n)))["runs"]}
+        for folder, _ in gone:
+            if folder not in named:
+                self.files.delete(folder)
+
     def reset(self) -> None:
         for name in self.files.names(""):
             self.files.delete(name)
@@ -226,3 +237,40 @@ def model(projection: Projection, store: StateStore, empty: DataFrame) -> DataFr
 def view(projection: Projection, rows: DataFrame) -> View:
     key = projection.fold.keys[0] if projection.fold.keys else rows.columns[0]
     return View(rows, key)
+
+
+class Published:
+    """Read models written out for queries: one copy laid out by key, and one by each field of the projection's index, so that a
+    query by key, by range or by an indexed field reads the row groups that can hold its rows."""
+
+    def __init__(self, spark: SparkSession, path: str, projection: Projection):
+        self.spark, self.projection, self.path = spark, projection, f"{path.rstrip('/')}/{projection.name}"
+        self.files = Files(spark, self.path)
+        self.journal = Journal(self.files, "published")
+
+    def publish(self, rows: DataFrame, position: int) -> None:
+        """Write the model as of a position. The one before stays for its readers; older ones go."""
+        own, folders = view(self.projection, rows), {}
+        for field in dict.fromkeys([own.key, *self.projection.index]):
+            folders[field] = f"tables/{uuid.uuid4().hex}"
+            own.layout(field).write.parquet(f"{self.path}/{folders[field]}")
+        number = max(self.journal.numbers(), default=-1) + 1
+        if not self.journal.publish(number, {"position": position, "folders": folders}):
+            raise CheckpointWriteError(f"{self.path}: published by another at once")
+        for old in [n for n in self.journal.numbers() if n < number - 1]:
+            for folder in json.loads(self.files.read(self.journal.name(old)))["folders"].values():
+                self.files.delete(folder)
+            self.files.delete(self.journal.name(old))
+
+    def position(self) -> int:
+        newest = max(self.journal.numbers(), default=-1)
+        return -1 if newest < 0 else json.loads(self.files.read(self.journal.name(newest)))["position"]
+
+    def view(self, field: str | None = None) -> View:
+        """The newest model, in the copy that is laid out by a field; by default, or of a field without index, by key."""
+        newest = max(self.journal.numbers(), default=-1)
+        if newest < 0:
+            raise CheckpointLoadError(f"{self.path}: nothing is published")
+        folders = json.loads(self.files.read(self.journal.name(newest)))["folders"]
+        key = next(iter(folders))
+        return View(self.spark.read.parquet(f"{self.path}/{folders.get(field, folders[key])}"), key)

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +84,16 @@ class Lock:
             raise SpecError("the lock file was changed by hand")
         return lock
 
+    @classmethod
+    def load(cls, path: str | Path) -> Lock:
+        return cls.loads(Path(path).read_text(encoding="utf-8"))
+
+    def save(self, path: str | Path) -> None:
+        """Write the lock file, whole."""
+        temporary = Path(f"{path}.tmp")
+        temporary.write_text(self.dumps(), encoding="utf-8")
+        os.replace(temporary, path)
+
     def status(self, current: Schema) -> dict[str, list[Change]]:
         changes = diff(self.schema, current)
         return {"breaking": [c for c in changes if c.breaking], "non_breaking": [c for c in changes if not c.breaking]}
@@ -100,18 +113,30 @@ class Lock:
 
 
 def upcast(events: DataFrame, lock: Lock, version: Column | None = None) -> DataFrame:
-    """data of older events with the fields that later versions brought, at their defaults; a value that is there stays.
-
-    An event's version is `schema_version` in its metadata, 1 without it. All steps become one expression over the row."""
+    """data of older events with the fields that later versions brought, at their defaults; a value that is there stays, an
+    explicit null too.
+
+    An event's version is `schema_version` in its metadata, 1 without it. The fields of an object are looked up once, and all
+    that lack are added at once, so the plan doesn't grow with the steps: they are a constant. data that is no JSON object
+    stays as it is."""
+    latest = {(s["event"], s["field"]): s for s in sorted(lock.steps, key=lambda s: s["version"])}
+    if not latest:
+        return events
+    by_event: dict[str, list] = {}
+    for (event, name), step in latest.items():
+        by_event.setdefault(event, []).append(F.struct(F.lit(name).alias("field"), F.lit(step["version"]).alias("since"), F.lit(f"{json.dumps(name)}:{json.dumps(step['default'])}").alias("entry")))
+    steps = F.try_element_at(F.create_map(*[x for event, own in by_event.items() for x in (F.lit(event), F.array(*own))]), F.col("type"))
     stored = F.coalesce(F.get_json_object("metadata", "$.schema_version").try_cast("int"), F.lit(1)) if version is None else version
-    data = F.col("data")
-    for step in sorted(lock.steps, key=lambda s: s["version"]):
-        missing = F.get_json_object(data, f"$.{step['field']}").isNull() & (stored < step["version"]) & (F.col("type") == step["event"])
-        entry = f"{json.dumps(step['field'])}:{json.dumps(step['default'])}"
-        bare = F.regexp_replace(data, r"\}\s*$", "")
-        added = F.concat(bare, F.when(F.rlike(data, F.lit(r"^\s*\{\s*\}\s*$")), F.lit("")).otherwise(F.lit(",")), F.lit(entry + "}"))
-        data = F.when(missing & F.rlike(data, F.lit(r"\}\s*$")), added).otherwise(data)
-    return events.withColumn("data", data)
+    there, since, lacking = _unlike(events, "_fields", "_version", "_lacking")
+    rows = events.withColumn(there, F.when(F.rlike("data", F.lit(r"\}\s*$")), F.json_object_keys("data"))).withColumn(since, stored)
+    rows = rows.withColumn(lacking, F.transform(F.filter(steps, lambda s: (s.since > F.col(since)) & ~F.array_contains(there, s.field)), lambda s: s.entry))
+    added = F.concat(F.regexp_replace("data", r"\}\s*$", ""), F.when(F.size(there) > 0, F.lit(",")).otherwise(F.lit("")), F.array_join(lacking, ","), F.lit("}"))
+    return rows.withColumn("data", F.when(F.size(lacking) > 0, added).otherwise(F.col("data"))).drop(there, since, lacking)
+
+
+def _unlike(df: DataFrame, *wanted: str) -> list[str]:
+    taken = {c.lower() for c in df.columns}
+    return [name + "_" * sum(c.startswith(name) for c in taken) for name in wanted]
 
 
 #: The types of payload fields, and the columns of read models that hold them.
@@ -131,17 +156,31 @@ def view_ddl(name: str, key: str, fields: dict[str, str], index: list[str] | Non
     return f"CREATE TABLE {snake_case(name)} ({', '.join(columns)}) USING parquet{hint}"
 
 
+def _not_of(value: Column, kind: str) -> Column:
+    """Whether a variant that is there and not null is of another JSON type."""
+    stored = F.schema_of_variant(value)
+    if kind.startswith("array<") and kind.endswith(">"):
+        inner = kind[6:-1].strip()
+        items = F.transform(F.expr("cast(null as array<variant>)") if value is None else F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_not_of(x, inner.removesuffix("?")) & (F.schema_of_variant(x) != "VOID"), F.lit(True)) | (F.schema_of_variant(x) == "VOID") & F.lit(not inner.endswith("?")))
+        return ~stored.startswith("ARRAY") | F.exists(items, lambda wrong: wrong)
+    starts = {"string": ("STRING",), "reference": ("STRING",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+    if kind not in starts:
+        raise SpecError(f"no type {kind!r}")
+    wrong = ~reduce(lambda a, b: a | b, [stored.startswith(x) for x in starts[kind]])
+    return wrong | (F.try_variant_get(value, "$", "string") == "") if kind == "reference" else wrong
+
+
 def invalid(events: DataFrame, schema: dict[str, dict[str, str]]) -> DataFrame:
-    """Events whose payload is not of their type's schema, with what is wrong: {event: {field: type}}."""
-    kinds = {"number": "double", "boolean": "boolean", "string": "string"}
+    """Events whose payload is not of their type's schema, with what is wrong: {event: {field: type}}. Types are string, number,
+    boolean, array, object, reference (a string that isn't empty) and array<type>; with "?" the field may lack or be null.
+    JSON has no NaN, so a payload with one is no JSON and lacks all."""
+    payload = F.try_parse_json("data")
     problems = []
     for event, fields in schema.items():
         for name, kind in fields.items():
-            value = F.get_json_object("data", f"$.{name}")
-            wrong = F.lit(False) if kind.endswith("?") else value.isNull()
-            base = kind.removesuffix("?")
-            if base in ("number", "boolean"):
-                wrong |= value.isNotNull() & value.try_cast(kinds[base]).isNull()
+            value = F.try_variant_get(payload, f"$.{name}", "variant")
+            none = value.isNull() | (F.schema_of_variant(value) == "VOID")
+            wrong = F.when(none, F.lit(not kind.endswith("?"))).otherwise(_not_of(value, kind.removesuffix("?")))
             problems.append(F.when((F.col("type") == event) & wrong, F.lit(f"{name}: not {kind}")))
     known = F.when(~F.col("type").isin(list(schema)), F.lit("unknown type"))
     return events.withColumn("problems", F.array_compact(F.array(known, *problems))).where(F.size("problems") > 0)

@@ -14,8 +14,14 @@ from .operators.views import View
 from .plans import schema_evo
 from .plans.folds import Aggregates, Fields, Latest, Machine, Measure, Resettable, fuse, replay, signed_sum, time_series
 from .plans.projections import Projection, Registry
+from .sources import scratch
 from .sources.adapters import activity, activity_rows, conversation_events, table, with_revisions
 
+def _scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder for one run of a query, in the session's scratch folder."""
+    return f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -66,8 +72,9 @@ def stream_last_n(spark, sf_dir):
 
 @query(_EVENTS + "SELECT stream_id, max(revision) AS head_revision, count(*) AS n_events, max(global_position) AS last_position FROM e GROUP BY stream_id")
 def stream_heads(spark, sf_dir):
-    rows = activity_rows(spark, sf_dir)  # revisions are dense, so a head is a count less one: no window
-    return rows.groupBy("stream_id").agg((F.count("*") - 1).alias("head_revision"), F.count("*").alias("n_events"), F.max("global_position").alias("last_position"))
+    # the table has no revisions; they are dense, so a head is a count less one: no window
+    counted = reads.stream_heads(activity_rows(spark, sf_dir).withColumn("revision", F.lit(0).cast("long")))
+    return counted.withColumn("head_revision", F.col("n_events") - 1)
 
 
 @query(_EVENTS + "SELECT DISTINCT stream_id FROM e")
@@ -80,7 +87,10 @@ def log_stats(spark, sf_dir):
     return reads.log_stats(activity_rows(spark, sf_dir))
 
 
-@query("SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS duplicate_positions, max(event_id) - min(event_id) + 1 - count(DISTINCT event_id) AS position_gaps, CAST(0 AS BIGINT) AS streams_with_gaps, CAST(0 AS BIGINT) AS out_of_order FROM events")
+@query(_EVENTS + """, streams AS (SELECT stream_id, count(*) AS n, min(revision) AS low, max(revision) AS high, count(DISTINCT revision) AS d FROM e GROUP BY stream_id),
+ordered AS (SELECT global_position AS p, lag(global_position) OVER (PARTITION BY stream_id ORDER BY revision, global_position) AS b FROM e)
+SELECT count(*) AS n_events, count(*) - count(DISTINCT global_position) AS duplicate_positions, max(global_position) - min(global_position) + 1 - count(DISTINCT global_position) AS position_gaps,
+  (SELECT count(*) FROM streams WHERE low <> 0 OR high <> n - 1 OR d <> n) AS streams_with_gaps, (SELECT count(*) FROM ordered WHERE b >= p) AS out_of_order FROM e""")
 def log_integrity(spark, sf_dir):
     return integrity(_typed(spark, sf_dir))
 
@@ -265,7 +275,7 @@ def append_assign_positions(spark, sf_dir):
     """The log written once, and all purchases appended to it again: what positions and revisions they get."""
     from .sources.log import EventLog
 
-    log = EventLog(spark, f"{_scratch(spark)}/log-{uuid.uuid4().hex}")
+    log = EventLog(spark, _scratch_folder(spark, "log"))
     rows = activity_rows(spark, sf_dir).select("global_position", "stream_id", "type", F.to_json(F.struct("value", "k")).alias("data"))
     log.append_frame(rows, ["global_position"])
     base, _ = log.append_frame(rows.where("type = 'purchase'"), ["global_position"])
@@ -314,7 +324,7 @@ def kv_latest(spark, sf_dir):
     """A key-value table fed in two versions and compacted: the last type by user, errors as deletions."""
     from .sources.kv import KeyValueTable
 
-    kv = KeyValueTable(spark, f"{_scratch(spark)}/kv-{uuid.uuid4().hex}")
+    kv = KeyValueTable(spark, _scratch_folder(spark, "kv"))
     rows = activity_rows(spark, sf_dir)
     middle = rows.agg(F.max("global_position")).first()[0] // 2
     for part in (rows.where(F.col("global_position") <= middle), rows.where(F.col("global_position") > middle)):
@@ -347,8 +357,8 @@ def latency_summary(spark, sf_dir):
 @query(_EVENTS + """SELECT global_position AS id, CASE type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'info' ELSE 'debug' END AS severity, k FROM e WHERE type <> 'view' AND global_position < 5000 ORDER BY global_position DESC LIMIT 101""")
 def log_page_desc(spark, sf_dir):
     code = F.when(F.col("type") == "error", 17).when(F.col("type") == "purchase", 9).otherwise(5)
-    rows = activity_rows(spark, sf_dir).where("type <> 'view' AND global_position < 5000").orderBy(F.desc("global_position")).limit(101)
-    return rows.select(F.col("global_position").alias("id"), telemetry.severity_name(code).alias("severity"), "k")
+    records = activity_rows(spark, sf_dir).select(F.when(F.col("type") != "view", "log").otherwise("span").alias("kind"), F.col("global_position").alias("ts_ms"), code.alias("severity"), "k")
+    return telemetry.query(records, kind="log", end_ms=4999, limit=101).select(F.col("ts_ms").alias("id"), telemetry.severity_name(F.col("severity")).alias("severity"), "k")
 
 
 @query(_EVENTS + "SELECT global_position, CASE WHEN type = 'purchase' THEN 'EUR' END AS currency, k FROM e")
@@ -381,7 +391,15 @@ def volume_fold(spark, sf_dir):
     return Aggregates({"n": Measure("count"), "quantity": Measure("sum", "l_quantity"), "price": Measure("sum", "l_extendedprice")}, key="l_returnflag").batch(table(spark, sf_dir, "lineitem"))
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT 'user-' || user_id AS key, epoch_us(ts) // 1000 AS ts, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_type IN ('error', 'signup')),
+w AS (
+  SELECT key, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS locked_until, CAST(0 AS BIGINT) AS lockouts, FALSE AS known, CAST(0 AS BIGINT) AS refused FROM (SELECT DISTINCT key FROM a)
+  UNION ALL
+  SELECT key, nth, CASE WHEN ok THEN 0 ELSE f END, CASE WHEN ok THEN 0 ELSE s END, CASE WHEN ok THEN 0 WHEN f < 3 THEN locked_until ELSE ts + 86400000 * CAST(pow(2, lockouts) AS BIGINT) END, CASE WHEN ok THEN 0 WHEN f < 3 THEN lockouts ELSE lockouts + 1 END, NOT ok, refused
+  FROM (SELECT w.key, a.nth, a.ts, a.ok, w.locked_until, w.lockouts, CASE WHEN NOT w.known OR a.ts - w.since > 604800000 THEN 1 ELSE w.failures + 1 END AS f, CASE WHEN NOT w.known OR a.ts - w.since > 604800000 THEN a.ts ELSE w.since END AS s,
+    w.refused + CASE WHEN w.locked_until > a.ts THEN 1 ELSE 0 END AS refused FROM w JOIN a ON w.key = a.key AND a.nth = w.nth + 1)
+)
+SELECT key, failures, since, locked_until, lockouts, refused FROM w WHERE nth = (SELECT max(nth) FROM a WHERE a.key = w.key)""")
 def rate_limiter(spark, sf_dir):
     """Errors as failed attempts and signups as successful ones, by user."""
     rows = activity_rows(spark, sf_dir).where("type IN ('error', 'signup')")
@@ -389,20 +407,13 @@ def rate_limiter(spark, sf_dir):
     return ratelimit.standings(attempts, ratelimit.Limit(3, 7 * 86_400_000, 86_400_000))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that the session names for shared intermediate files."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evlog-")).rstrip("/")
-
-
 @query(_LATEST_SQL + "SELECT stream_id, last_type, value, last_position FROM view")
 def stream_maintained_view(spark, sf_dir):
     """The latest event by user, kept by a streaming query over a log that was written in three commits."""
     from .sources.log import EventLog
     from .streaming.coordinator import Coordinator
 
-    log = EventLog(spark, f"{_scratch(spark)}/log-{uuid.uuid4().hex}")
+    log = EventLog(spark, _scratch_folder(spark, "log"))
     rows = activity_rows(spark, sf_dir).select("global_position", "stream_id", "type", F.to_json(F.struct("value", "k")).alias("data"))
     n = rows.agg(F.max("global_position")).first()[0] + 1
     registry = Registry()
@@ -415,6 +426,9 @@ def stream_maintained_view(spark, sf_dir):
     return coordinator.model("latest")
 
 
+from . import queries_log  # noqa: E402, F401 - registers its queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's latest event with the head of its stream."""
     return view_latest_by_user(spark, sf_dir).join(stream_heads(spark, sf_dir), "stream_id")

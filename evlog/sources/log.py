@@ -25,6 +25,7 @@ import json
 import threading
 import time
 import uuid
+from collections import deque
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
@@ -166,15 +167,17 @@ class _State:
 
 
 class EventLog:
-    def __init__(self, spark: SparkSession, path: str, auto_flush: int = 1, clock=lambda: int(time.time() * 1000), snapshot_every: int = 128, fanout: int = 64):
+    def __init__(self, spark: SparkSession, path: str, auto_flush: int = 1, clock=lambda: int(time.time() * 1000), snapshot_every: int = 128, fanout: int = 64, tail_events: int = 100_000):
         """auto_flush: how many events are held back before they are committed; 1: each call commits; 0: only flush() does.
-        snapshot_every: commits between snapshots. fanout: how many commits of a level are merged into one of the next; 0: none."""
+        snapshot_every: commits between snapshots. fanout: how many commits of a level are merged into one of the next; 0: none.
+        tail_events: how many of its own last events the writer keeps in memory for read_cached()."""
         self.spark, self.path, self.auto_flush, self.clock = spark, path.rstrip("/"), auto_flush, clock
         self.snapshot_every, self.fanout = snapshot_every, fanout
         self.files = Files(spark, self.path)
         self.journal, self.snapshots = Journal(self.files, "_log"), Journal(self.files, "_snapshots")
         self._lock, self._pending, self._open, self._failed = threading.RLock(), [], True, None
         self._known: _State | None = None
+        self.tail: deque[tuple] = deque(maxlen=tail_events)
         self.before_append = None  # a hook: called with the number of events, may raise to hold writers back
 
     @classmethod
@@ -250,6 +253,18 @@ class EventLog:
     def stream_global_durable(self, start: int = 0):
         return self.read_global_durable(start).toLocalIterator()
 
+    def read_cached(self, start: int, limit: int) -> list[dict] | None:
+        """Committed events from a position on, from memory alone; None if any of them isn't there."""
+        self._check()
+        with self._lock:
+            rows = list(self.tail)
+            end = self._state().position
+            wanted = min(end, start + limit) - start
+            if start >= end or not rows or rows[0][0] > start or rows[-1][0] < start + wanted - 1:
+                return None
+            found = [dict(zip(EVENT_COLUMNS, r, strict=True)) for r in rows if start <= r[0] < start + wanted]
+            return found if len(found) == wanted else None
+
     def read_stream(self, stream_id: str, **options) -> DataFrame:
         return reads.stream_scan(self.events(), stream_id, **options)
 
@@ -386,6 +401,7 @@ class EventLog:
                 self._failed = e
                 raise StoreFatalError("a commit could not be written") from e
             if made:
+                self.tail.extend(rows)
                 self._keep_up()
                 return results
             self.files.delete(f"data/{folder}")

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import EVENT_DDL, BackpressureTimeoutError, CatchUpTimeoutError, CoordinatorError, NotStartedError, ProjectionBuildError
 from ..operators.telemetry import health
 from ..plans.folds import of_types, union_of_types
-from ..plans.projections import Options, Projection, Registry, StateStore, advance, model, view
+from ..plans.projections import Options, Projection, Published, Registry, StateStore, advance, model, view
 from ..sources.log import EventLog
 
 
@@ -178,6 +178,15 @@ class Coordinator:
     def view(self, name: str):
         return view(self.registry.require(name), self.model(name))
 
+    def published(self, name: str) -> Published:
+        return Published(self.spark, f"{self.path}/models", self.registry.require(name))
+
+    def publish(self, name: str) -> Published:
+        """Write a model out as it is now, laid out by its key and its index."""
+        out = self.published(name)
+        out.publish(self.model(name), self.store(name).position())
+        return out
+
 
 def tail(log: EventLog, after: int, limit: int = 100) -> tuple[DataFrame, int]:
     """The next events past a position, and the position to go on from."""
