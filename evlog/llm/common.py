@@ -1,11 +1,10 @@
-"""What the operators share: the shared work folder, joins that stand a hot key, words and hashes."""
+"""What the operators share: work tables, joins that stand a hot key, words and hashes."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,24 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
+from ..sources import scratch
 
 #: A-Z to a-z on bytes; other bytes stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset (local sessions, tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="evlog-work-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -44,6 +29,10 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, str(16 << 20))
 
 
+#: The folders of this process: results are lazy, so their tables stay until the process ends or clean() is called.
+_open: dict[str, Work] = {}
+
+
 class Work:
     """Tables written in a folder of their own below the shared one. Every task that is run again writes the same rows,
     and Spark's committer publishes a table as a whole, so a lost executor costs time only."""
@@ -51,7 +40,8 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _open[self.path] = self
 
     def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Write df as a table and return the table: its lineage ends here."""
@@ -69,6 +59,7 @@ class Work:
     def close(self) -> None:
         """Remove the folder, once nothing reads any of its tables."""
         self.drop("")
+        _open.pop(self.path, None)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are done with."""
@@ -76,6 +67,22 @@ class Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def clean() -> int:
+    """Remove the work folders of this process, once no result of its operators is read any more; how many there were. Done at
+    exit too, if the session is still there."""
+    n = len(_open)
+    for work in list(_open.values()):
+        with contextlib.suppress(Exception):  # a session that has ended
+            if work.spark.sparkContext._jsc.sc().isStopped():
+                _open.pop(work.path)
+            else:
+                work.close()
+    return n
+
+
+atexit.register(clean)
+
+
 def free(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted column names, with underscores more where df has them already: names differ in more than case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -87,17 +94,20 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-#: A key that holds this share of all rows, or more, counts as hot. At most its inverse many keys can.
-HOT_SHARE = 1 / 2000
+def hot_rows(spark: SparkSession, total: int) -> int:
+    """A key that holds so many of `total` rows counts as hot: a quarter of what a partition would hold, so that a partition is
+    never much larger than the others by a key. At most four keys a partition, or two thousand, can be hot."""
+    keys = max(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1000, -(-total // keys))
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key and, in `count`, the key's rows in left (`total` in all).
 
-    Hot keys, 1/HOT_SHARE of them at most by their definition, go by broadcast and so stay where left has them; all other
-    keys are shuffled, and none of those can fill a task. left must be a table, as both parts read it. how: inner or left.
+    Hot keys, whose number is bounded by their definition, go by broadcast and so stay where left has them; all other keys are
+    shuffled, and none of those can fill a task. left must be a table, as both parts read it. how: inner or left.
     """
-    least = max(1000.0, total * HOT_SHARE)
+    least = hot_rows(left.sparkSession, total)
     hot = F.broadcast(right.where(F.col(count) >= least).withColumn("_hot", F.lit(True)))
     marked = left.join(hot, on, "left")
     at_once = marked.where("_hot").drop("_hot")

@@ -191,7 +191,7 @@ def _grouped(codes: DataFrame, distance: int, group_rows: int) -> DataFrame:
 
 
 def _found(docs: DataFrame, words: int, distance: int, group_rows: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), code, component_id."""
+    """doc_id, mark (a hash of the text), code, component_id, root (the component's smallest code)."""
     work = Work(docs.sparkSession, "simhash")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     prints = work.save(slim.mapInArrow(_fingerprints(words), "doc_id long, mark long, code long"), "prints")
@@ -202,21 +202,23 @@ def _found(docs: DataFrame, words: int, distance: int, group_rows: int) -> DataF
     rooted = work.save(codes.join(root, "code", "left").withColumn("root", F.coalesce("root", "code")), "rooted")
     least = work.save(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).where("members > 1"), "least")
     linked = join_hot(rooted, least, "root", "members", codes.count(), "left")
-    named = work.save(linked.select("code", "n", F.when(F.col("members").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "named")
-    return join_hot(prints, named, "code", "n", prints.count()).select("doc_id", "mark", "code", "component_id")
+    named = work.save(linked.select("code", "n", F.when(F.col("members").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), "root"), "named")
+    return join_hot(prints, named, "code", "n", prints.count()).select("doc_id", "mark", "code", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, group_rows: int = 1 << 21) -> DataFrame:
     """doc_id, code (the fingerprint as a long), component_id: the smallest doc_id reachable by links."""
-    return _found(docs, words, distance, group_rows).drop("mark")
+    return _found(docs, words, distance, group_rows).drop("mark", "root")
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, group_rows: int = 1 << 21) -> DataFrame:
-    """docs with one document of each group, one with the smallest id; rows without an id stay."""
+    """docs with one document of each group, one with the smallest id; rows without an id stay. Rows that share an id but not
+    their group are each judged by their own; of rows that repeat an id and its text one stays."""
     id_, mark, rows = free(docs, "_kept", "_mark", "_rows")
     found = _found(docs, words, distance, group_rows).where("doc_id = component_id")
-    kept = Work(docs.sparkSession, "kept").save(found.groupBy(F.col("doc_id").alias(id_)).agg(F.min("mark").alias(mark), F.count("*").alias(rows)), "kept")
+    of_group = found.groupBy("root").agg(F.first("doc_id").alias(id_), F.min("mark").alias(mark), F.count("*").alias(rows))
+    kept = Work(docs.sparkSession, "kept").save(of_group.drop("root"), "kept")
     own = docs.join(kept.select(id_, mark), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(mark)), "left_semi")
     if not kept.where(F.col(rows) > 1).isEmpty():  # rows that repeat an id and its text
-        own = own.dropDuplicates(["doc_id"])
+        own = own.dropDuplicates(["doc_id", "text"])
     return docs.where("doc_id is null").unionByName(own)

@@ -246,3 +246,26 @@ def test_the_registry():
     names = list(queries())
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
     assert oracle_sql().keys() <= queries().keys()
+
+
+def test_hot_keys_follow_the_number_of_partitions(spark):
+    from evlog.llm import common
+
+    assert common.hot_rows(spark, 100) == 1000 and common.hot_rows(spark, 10**9) == 500_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10000")
+    try:
+        assert common.hot_rows(spark, 10**9) == 25_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_work_folders_are_removed(spark):
+    from evlog.llm import common
+
+    work = common.Work(spark, "passing")
+    work.save(spark.range(3), "x")
+    path = Path(work.path.removeprefix("file:"))
+    assert path.exists() and work.path in common._open
+    work.close()
+    assert not path.exists() and work.path not in common._open
