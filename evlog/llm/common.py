@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +26,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, str(16 << 20))
 
 
-#: The folders of this process: results are lazy, so their tables stay until the process ends or clean() is called.
-_open: dict[str, Work] = {}
-
-
 class Work:
     """Tables written in a folder of their own below the shared one. Every task that is run again writes the same rows,
     and Spark's committer publishes a table as a whole, so a lost executor costs time only."""
@@ -40,8 +33,7 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
-        self.path = f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _open[self.path] = self
+        self.path = scratch.new(spark, name)
 
     def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Write df as a table and return the table: its lineage ends here."""
@@ -52,14 +44,11 @@ class Work:
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        scratch.delete(self.spark, f"{self.path}/{name}")
 
     def close(self) -> None:
         """Remove the folder, once nothing reads any of its tables."""
-        self.drop("")
-        _open.pop(self.path, None)
+        scratch.delete(self.spark, self.path)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are done with."""
@@ -67,22 +56,6 @@ class Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def clean() -> int:
-    """Remove the work folders of this process, once no result of its operators is read any more; how many there were. Done at
-    exit too, if the session is still there."""
-    n = len(_open)
-    for work in list(_open.values()):
-        with contextlib.suppress(Exception):  # a session that has ended
-            if work.spark.sparkContext._jsc.sc().isStopped():
-                _open.pop(work.path)
-            else:
-                work.close()
-    return n
-
-
-atexit.register(clean)
-
-
 def free(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted column names, with underscores more where df has them already: names differ in more than case."""
     taken, out = {c.lower() for c in df.columns}, []
