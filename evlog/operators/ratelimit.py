@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..deploy import ship
 
@@ -43,25 +44,31 @@ class Standing:
 
 def standings(attempts: DataFrame, limit: Limit = Limit()) -> DataFrame:
     """key, failures, since, locked_until, lockouts, refused (attempts made while locked out) after all attempts of each key,
-    in the order of (ts_ms, seq). The state depends on the order of every attempt, so a key's attempts are folded in one task,
-    in sorted batches: what is held is the state, not the attempts."""
+    in the order of (ts_ms, seq). Where a window opens depends on where the one before closed, attempt by attempt, so this is
+    no aggregate and no window function can say it: a key's attempts are folded in one task, in sorted Arrow batches, by a loop
+    that holds the state and not the attempts."""
     ship(attempts.sparkSession)
+    names, types = ["key", "failures", "since", "locked_until", "lockouts", "refused"], [pa.string(), *[pa.int64()] * 5]
+
+    def rows_of(out):
+        columns = list(zip(*out, strict=True)) or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def fold(batches):
         key, standing, refused, out = None, Standing(), 0, []
         row = lambda: (key, standing.failures, standing.since, standing.locked_until, standing.lockouts, refused)
-        for pdf in batches:
-            for k, ts, success in zip(pdf["key"], pdf["ts_ms"], pdf["success"], strict=True):
+        for rows in batches:
+            for k, ts, success in zip(*(rows.column(c).to_pylist() for c in ("key", "ts_ms", "success")), strict=True):
                 if k != key:
                     if key is not None:
                         out.append(row())
                     key, standing, refused = k, Standing(), 0
                 refused += not standing.allowed(ts)
-                standing = standing.after(limit, int(ts), bool(success))
-            yield pd.DataFrame(out, columns=["key", "failures", "since", "locked_until", "lockouts", "refused"])
+                standing = standing.after(limit, ts, bool(success))
+            yield rows_of(out)
             out = []
         if key is not None:
-            yield pd.DataFrame([row()], columns=["key", "failures", "since", "locked_until", "lockouts", "refused"])
+            yield rows_of([row()])
 
-    ordered = attempts.where("key is not null").select("key", "ts_ms", "seq", "success").repartition("key").sortWithinPartitions("key", "ts_ms", "seq")
-    return ordered.mapInPandas(fold, "key string, failures long, since long, locked_until long, lockouts long, refused long")
+    ordered = attempts.where("key is not null").select(F.col("key").cast("string").alias("key"), F.col("ts_ms").cast("long").alias("ts_ms"), "seq", "success").repartition("key").sortWithinPartitions("key", "ts_ms", "seq")
+    return ordered.mapInArrow(fold, "key string, failures long, since long, locked_until long, lockouts long, refused long")

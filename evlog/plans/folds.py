@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,20 +225,23 @@ class Resettable(Fold):
 
     def partial(self, events):
         given = F.expr("CASE" + "".join(f" WHEN type = '{t}' THEN {e}" for t, e in self.add.items()) + " END").cast(T.DecimalType(28, self.digits))
-        slim = events.where(of_types((*self.add, *self.reset))).select(self.key, POSITION, F.col("type").isin(list(self.reset)).alias("is_reset"), given.alias("given"))
-        resets = slim.where("is_reset").groupBy(self.key).agg(F.max(POSITION).alias("reset_at"))
-        # the keys' last resets are one row a key; a hot key's events are split by adaptive skew handling
-        joined = slim.join(resets, self.key, "left")
-        late = F.col("reset_at").isNull() | (F.col(POSITION) > F.col("reset_at"))
-        return joined.groupBy(self.key).agg(F.sum(F.when(late, F.col("given"))).cast(T.DecimalType(28, self.digits)).alias("sum"), F.max("reset_at").alias("reset_at"), F.max(POSITION).alias("at"))
+        # a key's events are first put together by stretches of positions, so that a hot key is many groups, then stretch after stretch
+        slim = events.where(of_types((*self.add, *self.reset))).select(self.key, F.col(POSITION).alias("at"), F.shiftright(POSITION, 20).alias("stretch"), F.col("type").isin(list(self.reset)).alias("is_reset"), given.alias("given"))
+        resets = slim.where("is_reset").groupBy(self.key, "stretch").agg(F.max("at").alias("reset_at"))
+        late = F.col("reset_at").isNull() | (F.col("at") > F.col("reset_at"))
+        stretches = slim.join(resets, [self.key, "stretch"], "left").groupBy(self.key, "stretch").agg(F.sum(F.when(late, F.col("given"))).cast(T.DecimalType(28, self.digits)).alias("sum"), F.max("reset_at").alias("reset_at"), F.max("at").alias("at"))
+        return self._in_order(stretches)
 
     def merge(self, older, newer):
+        return self._in_order(older.unionByName(newer))
+
+    def _in_order(self, parts: DataFrame) -> DataFrame:
         """Of a key's states, in order of their events, those before the last one with a reset count no more."""
         states = F.array_sort(F.collect_list(F.struct("at", "reset_at", "sum")))
         zero = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("reset_at"), F.lit(None).cast(T.DecimalType(28, self.digits)).alias("sum"))
         both = lambda a, b: F.when(a.isNull(), b).otherwise(F.coalesce(a + b, a)).cast(T.DecimalType(28, self.digits))
         step = lambda a, b: F.struct(b.at.alias("at"), F.coalesce(b.reset_at, a.reset_at).alias("reset_at"), F.when(b.reset_at.isNotNull(), b["sum"]).otherwise(both(a["sum"], b["sum"])).alias("sum"))
-        merged = older.unionByName(newer).groupBy(self.key).agg(F.aggregate(states, zero, step).alias("s"))
+        merged = parts.groupBy(self.key).agg(F.aggregate(states, zero, step).alias("s"))
         return merged.select(self.key, F.col("s.sum").alias("sum"), F.col("s.reset_at").alias("reset_at"), F.col("s.at").alias("at"))
 
     def finish(self, state):
@@ -267,25 +270,29 @@ class Machine(Fold):
             none = lambda kind: F.lit(None).cast(kind)
             rows = rows.unionByName(state.select("k", F.lit(-1).cast("long").alias("at"), none("string").alias("type"), none("string").alias("data"), none("long").alias("timestamp_ms"), F.to_json(F.struct("state", "at")).alias("state")))
 
+        def rows_of(out):
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["k", "state", "at"])
+
         def fold(batches):
             current, held, upto, out = None, None, -1, []
-            for pdf in batches:
-                for k, at, kind, data, ts, stored in zip(*(pdf[c] for c in ("k", "at", "type", "data", "timestamp_ms", "state")), strict=True):
+            for rows in batches:
+                for k, at, kind, data, ts, stored in zip(*(rows.column(c).to_pylist() for c in ("k", "at", "type", "data", "timestamp_ms", "state")), strict=True):
                     if k != current:
                         if current is not None:
                             out.append((current, json.dumps(held, sort_keys=True), upto))
                         current, held, upto = k, json.loads(zero), -1
-                    if isinstance(stored, str):
+                    if stored is not None:
                         was = json.loads(stored)
                         held, upto = json.loads(was["state"]), was["at"]
                     elif at > upto:
-                        held, upto = step(held, {"type": kind, "data": json.loads(data) if isinstance(data, str) else None, "timestamp_ms": ts, "position": at}), int(at)
-                yield pd.DataFrame(out, columns=["k", "state", "at"])
+                        held, upto = step(held, {"type": kind, "data": None if data is None else json.loads(data), "timestamp_ms": ts, "position": at}), at
+                yield rows_of(out)
                 out = []
             if current is not None:
-                yield pd.DataFrame([(current, json.dumps(held, sort_keys=True), upto)], columns=["k", "state", "at"])
+                yield rows_of([(current, json.dumps(held, sort_keys=True), upto)])
 
-        return rows.where("k is not null").repartition("k").sortWithinPartitions("k", "at").mapInPandas(fold, "k string, state string, at long")
+        return rows.where("k is not null").repartition("k").sortWithinPartitions("k", "at").mapInArrow(fold, "k string, state string, at long")
 
     def partial(self, events):
         return self._run(events, None)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ from .sources import scratch
 from .sources.adapters import activity, activity_rows, conversation_events, table, with_revisions
 
 def _scratch_folder(spark: SparkSession, name: str) -> str:
-    """A folder for one run of a query, in the session's scratch folder."""
-    return f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder for one run of a query."""
+    return scratch.new(spark, name)
 
 
 QUERIES: dict = {}

@@ -767,7 +767,7 @@ def schema_commands(spark, sf_dir):
         old, new, less = {"order": {"Placed": {"amount": "number"}}}, {"order": {"Placed": {"amount": "number", "currency": "string"}}}, {"order": {"Placed": {"amount": "number"}}}
         for step, (name, now, command) in enumerate([("sync", old, ["sync"]), ("status", new, ["status"]), ("sync", new, ["sync"]), ("sync with a default", new, ["sync", "--default", 'order.Placed.currency="EUR"']), ("diff", new, ["diff"]), ("sync --force", less, ["sync", "--force"])], 1):
             given.write_text(json.dumps(now))
-            code = schema.main([*command, "--lock", lock, "--schema", str(given)])
+            code = schema.main([*command, "--lock", lock, "--schema", str(given)], say=lambda _: None)
             out.append((step, name, code, schema_evo.Lock.load(lock).version))
     return _rows(spark, out, "step int, command string, code int, version int")
 

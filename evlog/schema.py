@@ -20,7 +20,7 @@ def line(change: Change) -> str:
     return f"{'BREAKING' if change.breaking else 'ok'} {change.kind} {where}{types}"
 
 
-def main(arguments: list[str] | None = None) -> int:
+def main(arguments: list[str] | None = None, say=print) -> int:
     parser = argparse.ArgumentParser(prog="evlog.schema")
     parser.add_argument("command", choices=["diff", "status", "sync"])
     parser.add_argument("--lock", required=True)
@@ -32,20 +32,20 @@ def main(arguments: list[str] | None = None) -> int:
     lock = Lock.load(given.lock) if Path(given.lock).exists() else None
     changes = [] if lock is None else [c for own in lock.status(current).values() for c in own]
     if given.command == "diff":
-        print("\n".join(map(line, changes)) or "no changes")
+        say("\n".join(map(line, changes)) or "no changes")
         return int(any(c.breaking for c in changes))
     if given.command == "status":
         breaking = sum(c.breaking for c in changes)
-        print("no lock" if lock is None else f"version {lock.version}, {lock.hash()[:12]}: {len(changes)} changes, {breaking} of them breaking")
+        say("no lock" if lock is None else f"version {lock.version}, {lock.hash()[:12]}: {len(changes)} changes, {breaking} of them breaking")
         return int(breaking > 0)
     defaults = {tuple(name.split(".", 2)): json.loads(value) for name, _, value in (d.partition("=") for d in given.default)}
     try:
         synced = Lock(1, current) if lock is None else lock.sync(current, defaults, given.force)
     except SpecError as e:
-        print(e)
+        say(e)
         return 1
     synced.save(given.lock)
-    print(f"version {synced.version}")
+    say(f"version {synced.version}")
     return 0
 
 

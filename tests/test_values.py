@@ -164,3 +164,13 @@ def test_scratch_folders():
     assert scratch.folder(session("local[4]")).startswith("file:///")
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.folder(session("spark://elsewhere"))
+
+
+def test_scratch_folders_are_removed(spark):
+    path = scratch.new(spark, "passing")
+    spark.range(3).write.parquet(f"{path}/x")
+    assert spark.read.parquet(f"{path}/x").count() == 3 and path in scratch._made
+    scratch.delete(spark, path)
+    assert path not in scratch._made
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{path}/x")
