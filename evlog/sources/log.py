@@ -41,6 +41,8 @@ _EVENTS = pa.schema([(c.split()[0], pa.int64() if c.endswith(" long") else pa.st
 _HEADS = pa.schema([("stream_id", pa.string()), ("revision", pa.int64())])
 _TOKENS = pa.schema([("token", pa.string()), ("number", pa.int64())])
 _TRIES = 50
+#: Tables of so many rows are read and written by the driver; longer ones by Spark.
+_FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,17 @@ class _Runs:
         ddl = f"{self.key} string, {self.value} long"
         return self.log.spark.read.schema(ddl).parquet(*paths) if paths else self.log.spark.createDataFrame([], ddl)
 
+    def rows(self) -> int:
+        return sum(n for _, n in self.tables)
+
+    def all(self) -> dict[str, int]:
+        """Everything, for runs of a size that is known to fit."""
+        out: dict[str, int] = {}
+        for name, _ in self.tables:
+            for key, value in self.log._read_table(f"{self.folder}/{name}", self.schema):
+                out[key] = max(value, out.get(key, value))
+        return out
+
     def find(self, keys: list[str]) -> dict[str, int]:
         if not self.tables or not keys:
             return {}
@@ -113,9 +126,13 @@ class _Runs:
         if len(self.tables) - at < 1:
             return
         newer, name = _Runs(self.log, self.folder, self.schema, self.tables[at - 1 :]), uuid.uuid4().hex
-        merged = newer.frame().groupBy(self.key).agg(F.max(self.value).alias(self.value))
-        merged.repartitionByRange(self.key).sortWithinPartitions(self.key).write.parquet(f"{self.log.path}/{self.folder}/{name}")
-        self.tables[at - 1 :] = [[name, sum(n for _, n in newer.tables)]]
+        if newer.rows() <= _FEW:
+            numbers = newer.all()
+            self.log._write_table(f"{self.folder}/{name}", self.schema, sorted(numbers.items()))
+        else:
+            merged = newer.frame().groupBy(self.key).agg(F.max(self.value).alias(self.value))
+            merged.repartitionByRange(self.key).sortWithinPartitions(self.key).write.parquet(f"{self.log.path}/{self.folder}/{name}")
+        self.tables[at - 1 :] = [[name, newer.rows()]]
 
 
 class _State:
@@ -126,8 +143,10 @@ class _State:
         self.number, self.position = body["number"], body["position"]
         self.live = {c["number"]: Commit(**c) for c in body["live"]}
         self.head_runs, self.token_runs = _Runs(log, "heads", _HEADS, body["heads"]), _Runs(log, "tokens", _TOKENS, body["tokens"])
+        self.most = log.heads_in_memory
         self.recent: dict[str, int] = {}  # heads of commits since the runs
-        self.known: dict[str, int] = {}  # what was looked up in the runs
+        self.known: dict[str, int] = {}  # heads that the runs hold, as far as they were read
+        self.whole = not self.head_runs.tables  # whether `known` has all of them
         self.tokens: dict[str, int] = {}
 
     def apply(self, number: int, body: dict) -> None:
@@ -141,13 +160,17 @@ class _State:
             if body.get("heads_folder"):
                 self.head_runs.tables.append(body["heads_folder"])
                 self.known.clear()
+                self.whole = False
         if commit.token is not None:
             self.tokens[commit.token] = number
         self.number = number
 
     def heads(self, stream_ids: list[str]) -> dict[str, int]:
-        if self.head_runs.tables and (missing := [s for s in stream_ids if s not in self.known]):
-            if len(self.known) > 1_000_000:
+        """Runs of up to `most` streams are read once; of longer ones only what is asked for."""
+        if not self.whole and self.head_runs.rows() <= self.most:
+            self.known, self.whole = self.head_runs.all(), True
+        if not self.whole and (missing := [s for s in stream_ids if s not in self.known]):
+            if len(self.known) > self.most:
                 self.known.clear()
                 missing = stream_ids
             self.known.update(dict.fromkeys(missing, NO_STREAM) | self.head_runs.find(missing))
@@ -167,12 +190,13 @@ class _State:
 
 
 class EventLog:
-    def __init__(self, spark: SparkSession, path: str, auto_flush: int = 1, clock=lambda: int(time.time() * 1000), snapshot_every: int = 128, fanout: int = 64, tail_events: int = 100_000):
+    def __init__(self, spark: SparkSession, path: str, auto_flush: int = 1, clock=lambda: int(time.time() * 1000), snapshot_every: int = 128, fanout: int = 64, tail_events: int = 100_000, heads_in_memory: int = 1_000_000):
         """auto_flush: how many events are held back before they are committed; 1: each call commits; 0: only flush() does.
         snapshot_every: commits between snapshots. fanout: how many commits of a level are merged into one of the next; 0: none.
-        tail_events: how many of its own last events the writer keeps in memory for read_cached()."""
+        tail_events: how many of its own last events the writer keeps in memory for read_cached(). heads_in_memory: up to so
+        many streams' heads are kept in memory; of more, those that were asked for."""
         self.spark, self.path, self.auto_flush, self.clock = spark, path.rstrip("/"), auto_flush, clock
-        self.snapshot_every, self.fanout = snapshot_every, fanout
+        self.snapshot_every, self.fanout, self.heads_in_memory = snapshot_every, fanout, heads_in_memory
         self.files = Files(spark, self.path)
         self.journal, self.snapshots = Journal(self.files, "_log"), Journal(self.files, "_snapshots")
         self._lock, self._pending, self._open, self._failed = threading.RLock(), [], True, None
@@ -214,7 +238,7 @@ class EventLog:
     def _state(self) -> _State:
         """The log as it is now: the state in memory, read on."""
         with self._lock:
-            if self._known is None or len(self._known.recent) > 1_000_000:
+            if self._known is None or len(self._known.recent) > self.heads_in_memory:
                 newest = max(self.snapshots.numbers(), default=None)
                 self._known = _State(self, None if newest is None else json.loads(self.files.read(self.snapshots.name(newest))))
             for number, body in self.journal.after(self._known.number):
@@ -407,15 +431,24 @@ class EventLog:
             self.files.delete(f"data/{folder}")
         raise EvlogError("other writers were first, again and again")
 
-    def _write_table(self, folder: str, schema: pa.Schema, rows: list[tuple], most: int = 100_000) -> None:
+    def _write_table(self, folder: str, schema: pa.Schema, rows: list[tuple]) -> None:
         """Rows as a table: a Parquet file from here if they are few, else by Spark."""
-        if len(rows) > most:
+        if len(rows) > _FEW:
             self.spark.createDataFrame(rows, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)).write.parquet(f"{self.path}/{folder}")
             return
         out = io.BytesIO()
         pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema), out, compression="zstd")
         self.files.write(f"{folder}/part-00000.parquet", out.getvalue())
 
+    def _read_table(self, folder: str, schema: pa.Schema) -> list[tuple]:
+        """The rows of a small table, without a job where its files are on this machine."""
+        if self.files.local is not None:
+            names = [n for n in self.files.names(folder) if n.endswith(".parquet")]
+            tables = [pq.read_table(f"{self.files.local}/{folder}/{n}", schema=schema) for n in names]
+            return [row for t in tables for row in zip(*(c.to_pylist() for c in t.columns), strict=True)]
+        ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)
+        return [tuple(r) for r in self.spark.read.schema(ddl).parquet(f"{self.path}/{folder}").collect()]
+
     def append_frame(self, frame: DataFrame, order: list[str], token: str | None = None) -> tuple[int, int]:
         """Append a DataFrame (stream_id, type, data, and metadata, timestamp_ms, tenant_id if they are there) in the order of the
         given columns; returns its first position and its number of events.
@@ -466,7 +499,8 @@ class EventLog:
             done = placed.withColumn("global_position", F.col("_start") + F.col("_nth") + state.position).withColumn("revision", F.col("_before") + F.col("_own"))
             made_heads = pairs.groupBy("stream_id").agg(F.sum("n").alias("n")).join(heads, "stream_id", "left").select("stream_id", (F.coalesce("_head", F.lit(0)) + F.col("n") - 1).alias("revision"))
             try:
-                done.select(*EVENT_COLUMNS).repartitionByRange("stream_id", "revision").sortWithinPartitions("stream_id", "revision").write.parquet(f"{self.path}/data/{folder}")
+                # as they lie, by (stream, partition): a range would need another pass; merging levels puts them in order
+                done.select(*EVENT_COLUMNS).sortWithinPartitions("stream_id", "revision").write.parquet(f"{self.path}/data/{folder}")
                 made_heads.repartitionByRange("stream_id").sortWithinPartitions("stream_id").write.parquet(f"{self.path}/heads/{heads_folder}")
                 n_heads = self.spark.read.parquet(f"{self.path}/heads/{heads_folder}").count()
                 body = {"base": state.position, "count": total, "folder": folder, "token": token, "heads_folder": [heads_folder, n_heads]}
@@ -512,7 +546,12 @@ class EventLog:
             state.head_runs.add(state.recent)
             state.head_runs.merge()  # with those that came with large commits
             state.token_runs.add(state.tokens)
-            state.recent, state.tokens, state.known = {}, {}, {}
+            if state.whole and len(state.known) + len(state.recent) <= state.most:
+                for name, revision in state.recent.items():
+                    state.known[name] = max(revision, state.known.get(name, revision))
+            else:
+                state.known, state.whole = {}, False
+            state.recent, state.tokens = {}, {}
             body = {"number": state.number, "position": state.position, "live": [asdict(c) for c in state.commits()], "heads": state.head_runs.tables, "tokens": state.token_runs.tables}
             self.snapshots.publish(state.number, body)
             for old in sorted(self.snapshots.numbers())[:-2]:
@@ -522,8 +561,12 @@ class EventLog:
         """Neighbouring commits as one; None if another writer has merged some of them."""
         folder, first = uuid.uuid4().hex, old[0].base
         body = {"base": first, "count": sum(c.count for c in old), "folder": folder, "token": None, "replaces": [c.number for c in old]}
-        rows = self.spark.read.schema(EVENT_DDL).parquet(*[f"{self.path}/data/{c.folder}" for c in old if c.count])
-        rows.repartitionByRange("stream_id", "revision").sortWithinPartitions("stream_id", "revision").write.option("maxRecordsPerFile", file_rows).parquet(f"{self.path}/data/{folder}")
+        if body["count"] <= _FEW and self.files.local is not None:
+            few = [row for c in old if c.count for row in self._read_table(f"data/{c.folder}", _EVENTS)]
+            self._write_table(f"data/{folder}", _EVENTS, sorted(few, key=lambda r: (r[1], r[2])))
+        else:
+            rows = self.spark.read.schema(EVENT_DDL).parquet(*[f"{self.path}/data/{c.folder}" for c in old if c.count])
+            rows.repartitionByRange("stream_id", "revision").sortWithinPartitions("stream_id", "revision").write.option("maxRecordsPerFile", file_rows).parquet(f"{self.path}/data/{folder}")
         for _ in range(_TRIES):
             state = self._state()
             if not all(c.number in state.live for c in old):

@@ -150,7 +150,7 @@ def test_snapshots_and_levels_change_no_answer(spark, path):
 
 def test_an_append_costs_the_same_in_a_long_log(spark, path, monkeypatch):
     """After the first lookup an append reads no event and runs no job but for upkeep."""
-    log = EventLog(spark, path, snapshot_every=1000, fanout=0)
+    log = EventLog(spark, path, snapshot_every=50, fanout=20)
     log.append_frame(spark.range(50).select(F.lit("a").alias("stream_id"), F.lit("T").alias("type"), F.lit("{}").alias("data"), "id"), ["id"])
     log.append("b", [ev()])
     log.append("a", [ev()])
@@ -159,8 +159,19 @@ def test_an_append_costs_the_same_in_a_long_log(spark, path, monkeypatch):
     real = log.files.read
     monkeypatch.setattr(log.files, "read", lambda name: reads.append(name) or real(name))
     for i in range(200):
-        assert log.append("ab"[i % 2], [ev(i=i)]).global_position == 52 + i
-    assert len(reads) == 200  # its own commit, each once
+        assert log.append(["a", "b", f"new-{i}"][i % 3], [ev(i=i)]).global_position == 52 + i
+    assert len([r for r in reads if r.startswith("_log")]) < 230  # its own commits, each once, and those that merge them
+    monkeypatch.undo()
+    assert sound(log) == 252 and len(log.commits()) < 60 and EventLog(spark, path).heads(["a", "new-2", "none"]) == log.heads(["a", "new-2", "none"])
+
+
+def test_heads_beyond_memory_are_looked_up(spark, path):
+    log = EventLog(spark, path, snapshot_every=5, heads_in_memory=3)
+    for i in range(23):
+        assert log.append(f"s-{i % 8}", [ev()], expected_revision=i // 8 - 1).stream_revision == i // 8
+    again = EventLog(spark, path, heads_in_memory=3)
+    assert again.heads([f"s-{i}" for i in range(9)]) == {**{f"s-{i}": 2 if i < 7 else 1 for i in range(8)}, "s-8": -1} and not again._state().whole
+    assert sound(again) == 23
 
 
 @pytest.mark.parametrize("through_hadoop", [False, True])
