@@ -809,7 +809,7 @@ def invalid_payloads(spark, sf_dir):
 # -- values and expressions
 
 
-@query(_EVENTS + """SELECT global_position, k + 1 AS more, k * 2 - 1 AS twice, CASE WHEN k = 0 THEN NULL ELSE round(value / k, 6) END AS ratio, k >= 50 AND type <> 'view' AS busy, NOT (type = 'click' OR k < 10) AS other, -k AS less,
+@query(_EVENTS + """SELECT global_position, k + 1 AS more, k * 2 - 1 AS twice, CASE WHEN k = 0 THEN NULL ELSE value / k END AS ratio, k >= 50 AND type <> 'view' AS busy, NOT (type = 'click' OR k < 10) AS other, -k AS less,
   CAST(floor(-value + 0.5) AS BIGINT) AS rounded, greatest(k, 50) AS top, least(k, 50) AS bottom, CAST(floor(value) AS BIGINT) AS whole, CAST(k * k AS DOUBLE) AS square FROM e""")
 def expression_numbers(spark, sf_dir):
     """Arithmetic, comparison, logic and numbers in the expression language."""
@@ -820,7 +820,7 @@ def expression_numbers(spark, sf_dir):
     }
     rows = activity_rows(spark, sf_dir).select("global_position", *[V.compile_expression(t).alias(n) for n, t in trees.items()])
     longs = [F.col(n).cast("long").alias(n) for n in ("more", "twice", "less", "rounded", "top", "bottom", "whole")]
-    ratio = F.when(F.abs("ratio") == float("inf"), None).when(F.isnan("ratio"), None).otherwise(F.round("ratio", 6))
+    ratio = F.when(F.abs("ratio") == float("inf"), None).when(F.isnan("ratio"), None).otherwise(F.col("ratio"))
     return rows.select("global_position", *longs, ratio.alias("ratio"), "busy", "other", "square")
 
 

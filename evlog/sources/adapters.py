@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EVENT_COLUMNS
@@ -21,11 +21,17 @@ def activity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_revisions(rows: DataFrame) -> DataFrame:
-    """Rows with each stream's revisions, 0, 1, 2 … by position."""
-    from pyspark.sql import Window
+def with_revisions(rows: DataFrame, stretch_bits: int = 20) -> DataFrame:
+    """Rows with each stream's revisions, 0, 1, 2 … by position.
 
-    return rows.withColumn("revision", F.row_number().over(Window.partitionBy("stream_id").orderBy("global_position")).cast("long") - 1)
+    Numbers are given within stretches of positions, and a stretch begins after what the stream has in those before it, so a
+    stream of any length is spread over many tasks; of a stretch one number is summed up along the stream."""
+    stretched = rows.withColumn("_stretch", F.shiftright("global_position", stretch_bits))
+    counts = stretched.groupBy("stream_id", "_stretch").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("stream_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("stream_id", "_stretch", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("stream_id", "_stretch").orderBy("global_position")) - 1
+    return stretched.withColumn("_own", own).join(before, ["stream_id", "_stretch"]).withColumn("revision", F.col("_before") + F.col("_own")).select(*rows.columns, "revision")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:

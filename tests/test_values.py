@@ -18,6 +18,7 @@ from evlog.plans import access, schema_evo
 from evlog.plans.projections import Projection, Published
 from evlog.plans.folds import Latest
 from evlog.sources import scratch
+from evlog.sources.adapters import with_revisions
 from evlog.sources.log import EventLog
 
 
@@ -174,3 +175,16 @@ def test_scratch_folders_are_removed(spark):
     assert path not in scratch._made
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(f"{path}/x")
+
+
+def test_revisions_are_numbered_by_stretches(spark):
+    rng = random.Random(3)
+    rows = [(p, rng.choice("aaaab")) for p in rng.sample(range(5000), 900)]
+    seen, want = Counter(), {}
+    for p, s in sorted(rows):
+        want[p] = seen[s]
+        seen[s] += 1
+    df = spark.createDataFrame([(p, s, 1) for p, s in rows], "global_position long, stream_id string, x int").repartition(4)
+    for bits in (20, 6):
+        got = with_revisions(df, bits)
+        assert got.columns == ["global_position", "stream_id", "x", "revision"] and {r.global_position: r.revision for r in got.collect()} == want
