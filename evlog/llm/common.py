@@ -125,8 +125,13 @@ def hash_words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of a buffer, cut at ASCII white space, eight bytes at a time over all words."""
     b = np.frombuffer(buf, np.uint8)
     word = ~SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(b) and word[0]:
+        edge = np.concatenate((np.zeros(1, np.int64), edge))
+    if len(b) and word[-1]:
+        edge = np.append(edge, len(b))
     start, end = edge[0::2], edge[1::2]
+    del word
     length = end - start
     padded = np.concatenate((b, np.zeros(16, np.uint8)))
     eights = np.lib.stride_tricks.as_strided(padded, shape=(len(b) + 8, 8), strides=(1, 1))

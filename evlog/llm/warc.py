@@ -1,8 +1,9 @@
 """A sharded WARC writer whose files are the same at every run, and a reader that checks them.
 
 Records are ordered by an integer key and then by payload digest, and cut into shards by bytes, at bounds that come from
-exact byte counts and so do not depend on how Spark deals the rows; a key with more than a shard's bytes is cut by digest.
-A partition is a shard, by its number, and one task writes it: it rolls to a new file once a file's compressed size has
+exact byte counts and so do not depend on how Spark deals the rows; a key with more than a shard's bytes is cut by digest, and records that repeat a key
+and payload for more than a shard's bytes by their numbers in the order of their URLs, which come from range-sorting and
+prefix sums. A partition is a shard, by its number, and one task writes it: it rolls to a new file once a file's compressed size has
 reached file_bytes, makes every header and digest anew, writes under a temporary name and renames the finished file. The
 manifest, renamed into place last, is the commit; readers see only the files that it names, with their sizes and digests.
 A task that runs again, or twice at once, renames the same bytes to the same name.
@@ -116,21 +117,22 @@ def _cut() -> F.Column:
 
 
 class Bounds:
-    """The shards' first records, by key and cut; the first shard begins before all."""
+    """The shards' first records, by key, cut and, of records that repeat both, number; the first shard begins before all."""
 
-    def __init__(self, firsts: list[tuple[int, int]]):
-        self.keys, self.cuts = (np.array([f[k] for f in firsts], np.int64) for k in (0, 1))
-        self.crowded = np.unique(self.keys[self.cuts > 0])
+    def __init__(self, firsts: list[tuple[int, int, int]]):
+        self.keys, self.cuts, self.turns = (np.array([f[k] for f in firsts], np.int64) for k in (0, 1, 2))
+        self.crowded = np.unique(self.keys[(self.cuts > 0) | (self.turns > 0)])
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def shard(self, keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    def shard(self, keys: np.ndarray, cuts: np.ndarray, turns: np.ndarray | None = None) -> np.ndarray:
         out = np.searchsorted(self.keys, keys, "right") - 1
         inside = np.flatnonzero(np.isin(keys, self.crowded)) if len(self.crowded) else ()
         for i in inside:
             a, b = np.searchsorted(self.keys, keys[i], "left"), np.searchsorted(self.keys, keys[i], "right")
-            out[i] = a + np.searchsorted(self.cuts[a:b], cuts[i], "right") - 1
+            c, d = a + np.searchsorted(self.cuts[a:b], cuts[i], "left"), a + np.searchsorted(self.cuts[a:b], cuts[i], "right")
+            out[i] = c + np.searchsorted(self.turns[c:d], 0 if turns is None else turns[i], "right") - 1
         return np.maximum(out, 0)
 
 
@@ -139,21 +141,22 @@ def _dealt(bounds: Bounds):
 
     def run(batches):
         for rows in batches:
-            keys, cuts = (np.asarray(rows.column(c).fill_null(0 if c == "cut" else _FIRST), np.int64) for c in ("key", "cut"))
-            yield pa.RecordBatch.from_arrays([pa.array(bounds.shard(keys, cuts), pa.int32()), *rows.columns], ["shard", *rows.schema.names])
+            keys, cuts, turns = (np.asarray(rows.column(c).fill_null(_FIRST if c == "key" else 0), np.int64) for c in ("key", "cut", "turn"))
+            yield pa.RecordBatch.from_arrays([pa.array(bounds.shard(keys, cuts, turns), pa.int32()), *rows.columns], ["shard", *rows.schema.names])
 
     return run
 
 
 def _written(path: str, file_bytes: int, level: int, min_bytes: int, date: str):
-    """Writes shards, whose rows come in order: of a key and digest first the mark, if there is one, then the records."""
+    """Writes shards, whose rows come in order: of a key and digest first the mark, if there is one, then the records. Records
+    that are cut by their numbers bring these, and their mark, along."""
 
     def run(batches):
         shard, group, keeper, nth = None, None, None, 0
         for rows in batches:
-            columns = [rows.column(c).to_pylist() for c in ("shard", "key", "kind", "digest", "keeper", "url")]
+            columns = [rows.column(c).to_pylist() for c in ("shard", "key", "kind", "digest", "keeper", "url", "turn")]
             payloads = rows.column("payload").cast(pa.binary())
-            for i, (to, k, kind, digest, refers, url) in enumerate(zip(*columns, strict=True)):
+            for i, (to, k, kind, digest, refers, url, turn) in enumerate(zip(*columns, strict=True)):
                 if shard is None or shard.shard != to:
                     if shard is not None:
                         yield batch(_MANIFEST, *zip(*shard.finish(), strict=True))
@@ -163,6 +166,8 @@ def _written(path: str, file_bytes: int, level: int, min_bytes: int, date: str):
                 if kind == 0:
                     keeper = refers
                     continue
+                if turn is not None:
+                    keeper, nth = refers, turn
                 payload = payloads[i].as_py() or b""
                 refers_to = keeper if keeper is not None else k if nth and len(payload) >= min_bytes else None
                 shard.add(k, record(k, url, payload, refers_to, refers_to is not None, nth, date))
@@ -187,11 +192,11 @@ def _cells(marks: list[int]):
 
 def _bounds(slim: DataFrame, shard_bytes: int, cells: int = 4096) -> Bounds:
     """The first records of the shards: byte counts in even cells of keys, cells of over a shard's bytes cut again, keys of over
-    a shard's bytes cut by digest, then all put together in order. What comes to the driver are counts by cell, a small
-    multiple of the number of shards."""
+    a shard's bytes cut by digest, records of one key and payload by their numbers, then all put together in order. What comes
+    to the driver are counts by cell, a small multiple of the number of shards."""
     slim = slim.withColumn("key", F.coalesce("key", F.lit(_FIRST)))
     low, high = slim.agg(F.min("key"), F.max("key")).first()
-    pieces, crowded, todo = {}, [], [] if low is None else [(low, high)]
+    pieces, crowded, todo = {}, {}, [] if low is None else [(low, high)]
     while todo:
         starts = {m for a, b in todo for m in range(a, b + 1, max(1, -(-(b - a + 1) // cells)))}
         marks = sorted(starts | {b + 1 for _, b in todo if b < 2**63 - 1})
@@ -201,16 +206,26 @@ def _bounds(slim: DataFrame, shard_bytes: int, cells: int = 4096) -> Bounds:
         for piece in sorted(counted.collect(), key=lambda r: r.cell):
             if marks[piece.cell] in starts:
                 if piece["size"] <= shard_bytes:
-                    pieces[piece.least, 0] = piece["size"]
+                    pieces[piece.least, 0, 0] = piece["size"]
                 elif piece.most > piece.least:
                     todo.append((piece.least, piece.most))
                 else:
-                    crowded.append((piece.least, 1 + (1 << 4 * _CUT_DIGITS) // (4 * -(-piece["size"] // shard_bytes))))
-    if crowded:  # total bytes / shard_bytes keys at most
-        widths = slim.sparkSession.createDataFrame(crowded, "key long, width long")
-        parts = slim.join(F.broadcast(widths), "key").groupBy("key", (_cut() - _cut() % F.col("width")).alias("cut")).agg(F.sum(F.col("bytes") + _OVERHEAD).alias("size"))
-        pieces |= {(r.key, r["cut"]): r["size"] for r in parts.collect()}
-    out, held = [(_FIRST, 0)], 0
+                    crowded[piece.least] = 1 + (1 << 4 * _CUT_DIGITS) // (4 * -(-piece["size"] // shard_bytes))
+    if crowded:  # total bytes / shard_bytes keys at most, and as many cuts with more than a shard's bytes
+        widths = F.broadcast(slim.sparkSession.createDataFrame(sorted(crowded.items()), "key long, width long"))
+        by_cut = slim.join(widths, "key").groupBy("key", "width", _cut().alias("cut")).agg(F.sum(F.col("bytes") + _OVERHEAD).alias("size"), F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+        giants = {(r.key, r["cut"]): (r["size"], r.n) for r in by_cut.where(F.col("size") > shard_bytes).collect()}
+        # cells end before a giant and begin anew behind it
+        edges = F.broadcast(slim.sparkSession.createDataFrame([(k, sorted(c for g, c in giants if g == k)) for k in crowded], "key long, giants array<long>"))
+        small = by_cut.where(F.col("size") <= shard_bytes).join(edges, "key")
+        behind = F.coalesce(F.array_max(F.filter("giants", lambda g: g < F.col("cut"))) + 1, F.lit(0))
+        cells_of = small.groupBy("key", F.greatest(F.col("cut") - F.col("cut") % F.col("width"), behind).alias("cut")).agg(F.sum("size").alias("size"))
+        pieces |= {(r.key, r["cut"], 0): r["size"] for r in cells_of.collect()}
+        for (k, c), (size, n) in giants.items():
+            each = -(-size // n)
+            step = max(1, shard_bytes // each)
+            pieces |= {(k, c, at): each * min(step, n - at) for at in range(0, n, step)}
+    out, held = [(_FIRST, 0, 0)], 0
     for start in sorted(pieces):
         if held and held + pieces[start] > shard_bytes:
             out.append(start)
@@ -219,6 +234,48 @@ def _bounds(slim: DataFrame, shard_bytes: int, cells: int = 4096) -> Bounds:
     return Bounds(out)
 
 
+def _numbered(batches):
+    """The number of the partition, and each row's number among the partition's rows of its key and digest, which come sorted."""
+    from pyspark import TaskContext
+
+    part, at, n = TaskContext.get().partitionId(), None, 0
+    for rows in batches:
+        numbers = []
+        for own in zip(rows.column("key").to_pylist(), rows.column("digest").to_pylist(), strict=True):
+            n = n + 1 if own == at else 0
+            at = own
+            numbers.append(n)
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64())], [*rows.schema.names, "part", "turn"])
+
+
+def _with_numbers(work: Work, rows: DataFrame, slim: DataFrame, marks: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """rows and marks; records that repeat a key and payload for more than a shard's bytes have their numbers, in the order of
+    their URLs, and their marks in `turn` and `keeper`."""
+    none = F.lit(None).cast("long")
+    repeated = slim.groupBy("key", "digest").agg(F.count("*").alias("n"), F.sum(F.col("bytes") + _OVERHEAD).alias("size")).where((F.col("size") > shard_bytes) & (F.col("n") > 1))
+    repeated = work.save(repeated.select(F.col("key").alias("_key"), F.col("digest").alias("_digest")), "repeated")  # total bytes / shard_bytes rows at most
+    if repeated.isEmpty():
+        return rows.withColumn("turn", none), marks
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))
+    kept = F.broadcast(work.save(repeated.join(marks, same, "left").select("_key", "_digest", F.col("keeper").alias("_keeper")), "repeated-marks"))
+    giant = rows.drop("keeper").join(kept, same).drop("_key", "_digest").withColumnRenamed("_keeper", "keeper")
+    order = [F.col("key").asc_nulls_first(), F.col("digest"), F.col("url").asc_nulls_first()]
+    # rows that are equal in all are spread by where they stand
+    ranged = giant.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order, "_at").sortWithinPartitions(*order, "_at").drop("_at")
+    columns = ["key", "kind", "digest", "keeper", "url", "payload"]
+    staged = work.save(ranged.select(columns).mapInArrow(_numbered, "key long, kind int, digest string, keeper long, url string, payload string, part int, turn long"), "repeats")
+    counts = work.save(staged.groupBy("key", "digest", "part").agg((F.max("turn") + 1).alias("n")), "repeat-counts")
+    # range-sorted partitions: partitions + groups rows at most
+    before, held = [], {}
+    for r in sorted(counts.collect(), key=lambda r: r.part):
+        before.append((r.key, r.digest, r.part, held.get((r.key, r.digest), 0)))
+        held[r.key, r.digest] = before[-1][3] + r.n
+    offsets = F.broadcast(work.spark.createDataFrame(before, "_key long, _digest string, _part int, _before long"))
+    numbered = staged.join(offsets, same & (F.col("part") == F.col("_part"))).withColumn("turn", F.col("turn") + F.col("_before"))
+    others = rows.join(F.broadcast(repeated), same, "left_anti").withColumn("turn", none)
+    return others.unionByName(numbered.select(*columns, "turn")), marks.join(F.broadcast(repeated), same, "left_anti")
+
+
 def write(records: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str | None = "url", shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, min_bytes: int = 0, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> str:
     """Write the records as WARC files below path; returns the manifest's path."""
     spark = records.sparkSession
@@ -231,9 +288,11 @@ def write(records: DataFrame, path: str, key: str = "page_id", payload: str = "h
     copies = work.save(long.groupBy("digest").agg(F.max("key").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null"), "copies")
     marks = join_hot(long, copies, "digest", "n", slim.count()).where("not key <=> keeper").select("key", "digest", "keeper").distinct()
     rows = given.withColumn("digest", F.sha1(text.cast("binary"))).select("key", F.lit(1).alias("kind"), "digest", F.lit(None).cast("long").alias("keeper"), "url", "payload")
-    both = rows.unionByName(marks.select("key", F.lit(0).alias("kind"), "digest", "keeper", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))).withColumn("cut", _cut())
-    ddl = "shard int, key long, kind int, digest string, keeper long, url string, payload string, cut long"
-    dealt = both.mapInArrow(_dealt(bounds), ddl).drop("cut").repartitionById(len(bounds), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "kind", "url")
+    rows, marks = _with_numbers(work, rows, slim, marks, shard_bytes)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = rows.unionByName(marks.select("key", F.lit(0).alias("kind"), "digest", "keeper", none("string").alias("url"), none("string").alias("payload"), none("long").alias("turn"))).withColumn("cut", _cut())
+    ddl = "shard int, key long, kind int, digest string, keeper long, url string, payload string, turn long, cut long"
+    dealt = both.mapInArrow(_dealt(bounds), ddl).drop("cut").repartitionById(len(bounds), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "kind", "turn", "url")
     files = work.save(dealt.mapInArrow(_written(path, file_bytes, level, min_bytes, date), _MANIFEST_DDL), "files")
     system, where = filesystem(path)
     system.create_dir(where, recursive=True)

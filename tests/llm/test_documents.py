@@ -626,6 +626,16 @@ def test_lower_bound(seed):
     assert -(-sum(sizes) // 100) <= bound <= smallest(sorted(sizes, reverse=True), 100)
 
 
+@pytest.mark.parametrize("buffer", [b"", b" ", b"a", b" a", b"a ", b"ab  c\n\td", b"one two three-four five\x0bsix" * 3, "né 中文 x".encode(), b"w" * 50 + b" " + b"w" * 8 + b" " + b"w" * 9])
+def test_words_are_found_and_told_apart(buffer):
+    from evlog.llm.common import hash_words
+
+    start, end, h = hash_words(buffer)
+    words = [buffer[a:b] for a, b in zip(start, end, strict=True)]
+    assert words == buffer.split()
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+
+
 # -- language ID, held against dictionaries
 
 

@@ -106,6 +106,26 @@ def test_a_key_with_more_than_a_shard_is_cut_by_digest(spark, tmp_path):
     assert Counter((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(pages)
 
 
+@pytest.mark.parametrize("min_bytes", [0, 10_000])
+def test_records_that_repeat_for_more_than_a_shard_are_cut_by_number(spark, tmp_path, min_bytes):
+    """A third of the records are one page, under few URLs; as many have no key and one payload, which another page has too."""
+    rows = [(7, f"u{i % 3}", "one page " * 9, 1, 1) for i in range(300)] + [(None, "u", "a payload of its own", 1, 1)] * 200 + [(None, f"v{i}", "shared", 1, 1) for i in range(150)] + [(50, "w", "shared", 1, 1)]
+    rows += [(i, "x", f"{i}", 1, 1) for i in range(100, 160)] + [(7, "x", f"another {i}", 1, 1) for i in range(90)] + [(9, None, None, 1, 1)] * 120
+    for name, parts in (("a", 1), ("b", 6)):
+        warc.write(spark.createDataFrame(rows, PAGES).orderBy(F.xxhash64("url", F.lit(parts))).repartition(parts), str(tmp_path / name), shard_bytes=20_000, file_bytes=4_000, min_bytes=min_bytes)
+    a, b = tree(tmp_path / "a"), tree(tmp_path / "b")
+    assert a == b
+    found = warc.read(spark, str(tmp_path / "a")).collect()
+    assert Counter((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(rows, min_bytes)
+    listed = [json.loads(x) for x in a["manifest.json"].decode().splitlines()]
+    by_shard = Counter()
+    for x in listed:
+        by_shard[x["name"][:12]] += x["records"]
+    assert max(by_shard.values()) * 512 <= 20_000 + 1024 and len(by_shard) > 25
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", b"".join(gzip.decompress(v) for k, v in a.items() if k.endswith(".gz")))
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
 # -- tool calls
 
 CALL = '<tool_call>{"id": "%s", "name": "add", "arguments": %s, "after": %s}</tool_call>'
