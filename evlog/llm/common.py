@@ -19,11 +19,11 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, and keep Arrow batches at 16 MB, unless the session has a size of its own: a batch of texts stands in
+    """Ship the package, and keep Arrow batches at 4 MB, unless the session has a size of its own: a batch of texts stands in
     the executor and in its Python worker at once, several times over."""
     ship(spark)
     if spark.conf.get(_BATCH_BYTES, "64MB") in ("64MB", "67108864b", "67108864"):
-        spark.conf.set(_BATCH_BYTES, str(16 << 20))
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
 
 
 class Work:

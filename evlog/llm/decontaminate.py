@@ -63,7 +63,7 @@ def _indexed(segment_bytes: int):
     return run
 
 
-def build_index(docs: DataFrame, segment_bytes: int = 8 << 20, mark: F.Column | None = None) -> DataFrame:
+def build_index(docs: DataFrame, segment_bytes: int = 4 << 20, mark: F.Column | None = None) -> DataFrame:
     """The index of all documents, as a table: a row a segment. mark: a string that the index carries for each document, for
     those whose documents have no id of their own."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if mark is None else [mark.alias("mark")]))

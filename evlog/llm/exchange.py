@@ -116,7 +116,7 @@ class Answers:
 class Exchange:
     """The blocks of a table of documents (doc_id, text; a null text is empty), and what is sent between them."""
 
-    def __init__(self, docs: DataFrame, name: str, block_bytes: int = 8 << 20, bucket_keys: int = 1 << 20, fan: int = 4096, node_blocks: int = 512):
+    def __init__(self, docs: DataFrame, name: str, block_bytes: int = 4 << 20, bucket_keys: int = 1 << 20, fan: int = 4096, node_blocks: int = 512):
         spark = docs.sparkSession
         self.work, self.bucket_keys, self.fan, self.node_blocks, self.tables = Work(spark, name), bucket_keys, fan, node_blocks, []
         slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

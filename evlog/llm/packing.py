@@ -55,7 +55,7 @@ class Encoder:
     tokenizer's added tokens) go to it whole, as do all texts if the tokenizer turns out to be of another kind.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.own, self.known, self.tails, self.most = tokenizer(path), {}, {}, most
         self.model, self.letters = self.own.model, _byte_letters()
         self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]

@@ -322,7 +322,7 @@ _WHOLE = {}
 def monkeypatch_free(docs):
     """The scores with the usual buckets."""
     if not _WHOLE:
-        defaults, lm.Exchange.__init__.__defaults__ = lm.Exchange.__init__.__defaults__, (8 << 20, 1 << 20, 4096, 512)
+        defaults, lm.Exchange.__init__.__defaults__ = lm.Exchange.__init__.__defaults__, (4 << 20, 1 << 20, 4096, 512)
         _WHOLE["scores"] = listed(lm.score(docs).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("score", 6).alias("score")), "doc_id", "n_tokens", "n_known", "train_tokens", "score")
         lm.Exchange.__init__.__defaults__ = defaults
     return _WHOLE["scores"]
