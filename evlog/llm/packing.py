@@ -55,9 +55,9 @@ class Encoder:
     tokenizer's added tokens) go to it whole, as do all texts if the tokenizer turns out to be of another kind.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         self.own, self.known, self.tails, self.most = tokenizer(path), {}, {}, most
-        self.model, self.letters = self.own.model, _byte_letters()
+        self.model, self.letters = self.own.model, dict(enumerate(_byte_letters()))
         self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
         probe = "Ab c's\nde, f. 12 é\nÀß.\n\nx! don't (y)" * 3
         words = probe.split(" ")
@@ -80,9 +80,14 @@ class Encoder:
     def _word(self, word: str, lead: str) -> bytes | None:
         """The ids of letters and punctuation after them; None if it is anything else."""
         core = word.rstrip(_PUNCTUATION)
-        if not core.isalpha() or max(core) >= "\u0250":
+        if not core.isalpha():
+            return None
+        if core.isascii():
+            letters = core
+        elif max(core) < "\u0250":
+            letters = core.encode().decode("latin-1").translate(self.letters)
+        else:
             return None
-        letters = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
         ids = array("I", [t.id for t in self.model.tokenize(lead + letters)]).tobytes()
         return ids if len(core) == len(word) else ids + self._tail(word[len(core) :])
 
@@ -111,10 +116,11 @@ class Encoder:
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         cut = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        if len(self.known) > self.most:
-            self.known.clear()
         # a chunk is kept under its word: that is " word", but for a text's first
-        new = list(set().union(*cut.values()).difference(self.known)) if cut else []
+        own = set().union(*cut.values()) if cut else set()
+        if len(self.known) > self.most:  # what these texts use goes on
+            self.known = {w: self.known[w] for w in own.intersection(self.known)}
+        new = list(own.difference(self.known))
         self.known.update(zip(new, self._words(new), strict=True))
         firsts = self._ids([words[0] for words in cut.values()])
         get = self.known.__getitem__
