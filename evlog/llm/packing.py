@@ -55,7 +55,7 @@ class Encoder:
     tokenizer's added tokens) go to it whole, as do all texts if the tokenizer turns out to be of another kind.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 800_000):
         self.own, self.known, self.tails, self.most = tokenizer(path), {}, {}, most
         self.model, self.letters = self.own.model, dict(enumerate(_byte_letters()))
         self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
@@ -143,8 +143,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+#: White space beyond ASCII. Looking for one of these in a text whose characters are all smaller costs nothing.
+_SPACES = [chr(i) for i in range(128, 0x3001) if chr(i).isspace()]
+
+
 def _other_space(text: str) -> bool:
-    return not text.isascii() and any(ord(c) > 127 and c.isspace() for c in set(text))
+    return not text.isascii() and any(c in text for c in _SPACES)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
