@@ -122,7 +122,11 @@ class Encoder:
             self.known = {w: self.known[w] for w in own.intersection(self.known)}
         new = list(own.difference(self.known))
         self.known.update(zip(new, self._words(new), strict=True))
-        firsts = self._ids([words[0] for words in cut.values()])
+        firsts = [self._word(words[0], "") for words in cut.values()]
+        hard = [k for k, ids in enumerate(firsts) if ids is None]
+        spelled = [words[0] for words in cut.values()] if hard else []
+        for k, ids in zip(hard, self._ids([spelled[k] for k in hard]), strict=True):
+            firsts[k] = ids
         get = self.known.__getitem__
         for (i, words), first in zip(cut.items(), firsts, strict=True):
             out[i] = first + b"".join(map(get, words[1:]))
